@@ -38,9 +38,9 @@ from .common import bucket_of, coded, settle, slices, sums, words
 FOLDS, HELD_OUT = 10, 0
 #: What unseen words count as, and the mass that a context lends to the root.
 UNSEEN, MASS = 0.1, 50.0
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 #: Text bytes for each bucket of n-grams.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 12 << 20
 #: Hashes of the end token and of the state before the first word; no word has them but by a hash collision.
 _END, _BEGIN = np.uint64(0x656E645F6F665F74), np.uint64(0x626567696E5F6F66)
 _BLOCKS = "block long, doc_ids binary, flags binary, lengths binary, codes binary, vocabulary binary"
