@@ -38,6 +38,8 @@ BUDGET = 2
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Fingerprints of a bucket beyond which its links go through shared neighbours.
 CROWD = 64
+#: A fingerprint of more than 1 / HOT of all rows is joined by broadcast.
+HOT = 1000
 _BLOCK = 1 << 18
 
 
@@ -146,13 +148,22 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id it reaches)."""
     marked = settle(fingerprints(docs))
-    first = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    first = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_docs")))
     roots = components(links(first))
     grouped = roots.join(first, roots.node == first.fp).select("fp", "root", "rep")
     least = grouped.groupBy("root").agg(F.min("rep").alias("component"))
     named = grouped.join(least, "root").select("fp", "component")
-    reps = first.join(named, "fp", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(reps, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    reps = settle(first.join(named, "fp", "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "n_docs"))
+    return _labelled(marked, reps).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _labelled(marked: DataFrame, reps: DataFrame) -> DataFrame:
+    """Every row with its fingerprint's component. The few fingerprints with a large share of all rows are broadcast (less
+    than ``HOT`` of them can exist); the others are joined by shuffle."""
+    hot = F.broadcast(reps.filter(F.col("n_docs") * HOT > marked.count()).select(F.col("fp").alias("hot_fp"), F.col("component_id").alias("hot_component")))
+    told = marked.join(hot, F.col("fp") == F.col("hot_fp"), "left")
+    rest = told.filter("hot_fp is null").select("doc_id", "fp").join(reps.select("fp", "component_id"), "fp")
+    return told.filter("hot_fp is not null").select("doc_id", "fp", F.col("hot_component").alias("component_id")).unionByName(rest)
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
