@@ -5,7 +5,8 @@ edits (insertions, deletions, substitutions) away from the item. Words are compa
 punctuation at their ends removed.
 
 Search. A window of W words starts at every word. A run within k edits keeps W - 1 - 2k of the item's word pairs, so
-windows with fewer pairs of items of their length are left aside; this loses nothing. For the rest, several CGK random
+windows with fewer pairs of items of their length are left aside; this loses nothing. Of neighbouring windows those with
+the most such pairs go on. For them, several CGK random
 walks embed windows and items: a walk copies the word under its head and advances or stays by a random bit that depends
 on the step and the word, which turns edit distance into Hamming distance. Each table hashes SAMPLED positions of a
 walk; WALKS * TABLES tables reach the target recall (RECALL, measured against brute force in the tests). Items that
@@ -33,24 +34,28 @@ from .common import coded, slices, words
 EDITS = 0.2
 LEAST_WORDS = 5
 RECALL = 0.99
-WALKS, TABLES, SAMPLED = 8, 16, 2
+WALKS, TABLES, SAMPLED = 6, 16, 2
 BLOCK_ITEMS, BLOCK_BYTES = 2000, 4 << 20
+#: Text bytes searched at once.
+SLICE = 12 << 20
 _BLOCK = 8
 _MATCH = "array<struct<item_id:bigint,edits:int,first_word:bigint,n_words:bigint>>"
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each normalised word and the offset of each text's first one."""
+def _hashes(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each normalised word, the offset of each text's first one, and whether the sorted ``known`` has the hash."""
     flat, offsets = words(texts, lower=True)
     codes, vocabulary = coded(flat)
     strip = _PUNCTUATION.encode()
     h = np.fromiter((xxhash.xxh3_64_intdigest(w.strip(strip) or w) | 1 for w in vocabulary), np.uint64, len(vocabulary))
-    return h[codes] if len(codes) else np.zeros(0, np.uint64), offsets
+    if not len(codes):
+        return np.zeros(0, np.uint64), offsets, np.zeros(0, bool)
+    return h[codes], offsets, np.isin(h, known)[codes] if known is not None else np.ones(len(codes), bool)
 
 
-def _pairs(h: np.ndarray) -> np.ndarray:
-    return h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ (h[1:] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
+def _mix(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return left * np.uint64(0x9E3779B97F4A7C15) ^ (right * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
 
 
 def allowed(n_words: int) -> int:
@@ -112,12 +117,13 @@ class Items:
     """One block of benchmark items, ready to be searched for."""
 
     def __init__(self, ids: list, texts: list[str]):
-        h, offsets = _hashes(pa.array(texts, pa.string()))
+        h, offsets, _ = _hashes(pa.array(texts, pa.string()))
         long = np.diff(offsets) >= LEAST_WORDS
         self.ids = [i for i, k in zip(ids, long, strict=True) if k]
         self.words = [h[a:b] for a, b, k in zip(offsets[:-1], offsets[1:], long, strict=True) if k]
         self.lists = [w.tolist() for w in self.words]
         self.sizes = sorted({len(w) for w in self.words})
+        self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.words]))
         pairs, owners, self.tables = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], {}
         for c, size in enumerate(self.sizes):
             own = np.array([i for i, w in enumerate(self.words) if len(w) == size])
@@ -128,7 +134,7 @@ class Items:
                 order = np.argsort(entry, kind="stable")
                 self.tables[size].append((entry[order], own[order]))
             for i in own:
-                p = _pairs(self.words[i])
+                p = _mix(self.words[i][:-1], self.words[i][1:])
                 pairs.append(p)
                 owners.append(np.full(len(p), c))
         self.pairs, inverse = np.unique(np.concatenate(pairs), return_inverse=True)
@@ -141,14 +147,17 @@ class Items:
 
     def search(self, texts: pa.Array) -> list[list[dict]]:
         found: list[dict[int, tuple]] = [{} for _ in range(len(texts))]
-        h, offsets = _hashes(texts)
+        h, offsets, known = _hashes(texts, self.vocabulary)
         if not self.ids or len(h) < 2:
             return [[] for _ in found]
-        owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
-        pairs = _pairs(h)
-        code = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
-        hit = (self.pairs[code] == pairs) & (owner[1:] == owner[:-1])
-        code = np.where(hit, code, len(self.pairs))
+        owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(offsets))
+        at = np.flatnonzero(known[1:] & known[:-1] & (owner[1:] == owner[:-1]))
+        pairs = _mix(h[at], h[at + 1])
+        found_at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        same = self.pairs[found_at] == pairs
+        code = np.full(len(h) - 1, len(self.pairs), np.int32)
+        code[at[same]] = found_at[same]
+        hit = code < len(self.pairs)
         total = np.concatenate([[0], np.cumsum(hit)])
         reach = np.minimum(np.arange(len(hit)) + _BLOCK, len(hit))
         dense = np.flatnonzero(total[reach] - total[:-1] >= self.dense)
@@ -161,24 +170,25 @@ class Items:
         zone = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
         zone_code = np.concatenate([code, [len(self.pairs)]])[zone]
         ends = offsets[1:][owner[zone]]
-        candidates: dict[tuple[int, int], list[int]] = {}
+        candidates: dict[tuple[int, int], set[int]] = {}
         for c, (size, need) in enumerate(zip(self.sizes, self.least, strict=True)):
-            known = np.concatenate([[0], np.cumsum(self.member[zone_code, c])])
+            ours = np.concatenate([[0], np.cumsum(self.member[zone_code, c])])
             stop = np.searchsorted(zone, np.minimum(zone + size - 1, ends - 1))
-            keep = known[stop] - known[: len(zone)] >= need
+            inside = ours[stop] - ours[: len(zone)]
+            keep = (inside >= need) & (inside >= np.append(inside[1:], 0)) & (inside >= np.insert(inside[:-1], 0, 0))
             starts = zone[keep]
             if not len(starts):
                 continue
             to = np.minimum(starts + size, ends[keep])
             for entry, (sorted_entries, items) in zip(signatures(h, starts, to, size), self.tables[size], strict=True):
-                lo, hi = np.searchsorted(sorted_entries, entry), np.searchsorted(sorted_entries, entry, side="right")
-                for k in np.flatnonzero(hi > lo):
-                    for i in items[lo[k] : hi[k]]:
-                        candidates.setdefault((int(owner[starts[k]]), int(i)), []).append(int(starts[k]))
+                lo = np.searchsorted(sorted_entries, entry)
+                for k in np.flatnonzero(sorted_entries[np.minimum(lo, len(items) - 1)] == entry):
+                    for i in items[lo[k] : np.searchsorted(sorted_entries, entry[k], side="right")]:
+                        candidates.setdefault((int(owner[starts[k]]), int(i)), set()).add(int(starts[k]))
         for (doc, i), starts in candidates.items():
             size, k = len(self.lists[i]), allowed(len(self.lists[i]))
             begin, done = int(offsets[doc]), int(offsets[doc + 1])
-            for lo, hi in _merged(sorted(set(starts)), size + 2 * k):
+            for lo, hi in _merged(sorted(starts), size + 2 * k):
                 lo, hi = max(begin, lo - 2 * k), min(done, hi + size + 2 * k)
                 text = h[lo:hi].tolist()
                 edits, end = best_fit(self.lists[i], text)
@@ -219,7 +229,7 @@ def _finder(block):
         if not ready:
             ready.append(Items(*block.value))
         out: list[list[dict]] = []
-        for _, part in slices(texts):
+        for _, part in slices(texts, SLICE):
             out += ready[0].search(part)
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("first_word", pa.int64()), ("n_words", pa.int64())]))
         return pa.array(out, kind)
