@@ -1 +1,10 @@
 """Property graphs, vector search and corpus operators on Spark DataFrames."""
+
+from .functions.similarity import COSINE, DOT, EUCLIDEAN, VectorConfig
+from .operators.graph import Edge, GraphStats, Node, PropertyGraph
+from .operators.store import GraphStore, Transaction
+from .plans.paging import Page
+from .sources.storage import MemoryStorage, ParquetStorage
+from .sources.views import View, typed_view
+
+__all__ = ["COSINE", "DOT", "EUCLIDEAN", "Edge", "GraphStats", "GraphStore", "MemoryStorage", "Node", "Page", "ParquetStorage", "PropertyGraph", "Transaction", "VectorConfig", "View", "typed_view"]
