@@ -35,20 +35,35 @@ _STARTS = "filter(sequence(0, size(lines) - 1), i -> i = 0 or lines[i].level <>
 _UNITS = "transform(runs, r -> struct(r.level as level, concat(array(array_join(filter(r.run.normal, n -> n <> ''), ' ')), r.run.normal) as units))"
 
 
+def has_quotes() -> Column:
+    return F.col("text").contains(">") & F.col("text").rlike(r"(?:\A|\n)[ \t]*>")
+
+
 def parsed(messages: DataFrame) -> DataFrame:
-    """Adds lines, runs and ``units`` (level, normalised passage and lines of each run) and ``body``, the unquoted text."""
-    out = messages.withColumn("lines", F.expr(_LINES)).withColumn("starts", F.expr(_STARTS)).withColumn("runs", F.expr(_RUNS)).withColumn("units", F.expr(_UNITS))
-    body = F.expr("trim(BOTH '\\n' FROM array_join(transform(filter(lines, x -> x.level = 0), x -> x.line), '\\n'))")
-    return out.withColumn("body", body).drop("lines", "starts", "runs")
+    """Adds ``units``: level, normalised passage and lines of each run."""
+    out = messages.withColumn("lines", F.expr(_LINES)).withColumn("starts", F.expr(_STARTS)).withColumn("runs", F.expr(_RUNS))
+    return out.withColumn("units", F.expr(_UNITS)).drop("lines", "starts", "runs")
+
+
+def unquoted() -> Column:
+    """The message without its quoted lines."""
+    own = F.when(has_quotes(), F.expr(f"array_join(filter(split(text, '\\n'), l -> NOT (l RLIKE '{_QUOTE}')), '\\n')")).otherwise(F.col("text"))
+    return F.regexp_replace(own, r"^\n+|\n+$", "")
 
 
 def linked(messages: DataFrame) -> DataFrame:
-    """(at, parent, quotes, linked) of messages with quotes; ``messages``: conv, at, body and units."""
-    units = messages.select("conv", "at", "body", F.explode("units").alias("u"))
-    own = units.filter("u.level = 0").select("conv", "at", F.explode("u.units").alias("unit"))
-    whole = messages.select("conv", "at", F.expr(_NORMAL.format("body")).alias("unit"))
+    """(at, parent, n_quotes, n_linked) of messages with quotes; ``messages``: conv, at and text.
+
+    Only conversations with a quote are searched for originals. Both sides are written first, or the optimizer would parse all
+    messages below the join to drop those without units.
+    """
+    quoting = settle(messages.filter(has_quotes()))
+    asking = parsed(quoting).select("conv", "at", F.explode("units").alias("u")).filter("u.level > 0")
+    sources = parsed(settle(messages.join(quoting.select("conv").distinct(), "conv", "left_semi")))
+    own = sources.select("conv", "at", F.explode("units").alias("u")).filter("u.level = 0").select("conv", "at", F.explode("u.units").alias("unit"))
+    whole = sources.select("conv", "at", F.expr(_NORMAL.format("array_join(flatten(transform(filter(units, u -> u.level = 0), u -> array(u.units[0]))), ' ')")).alias("unit"))
     first = own.unionByName(whole).filter("unit <> ''").groupBy("conv", F.xxhash64("unit").alias("hash"), F.length("unit").alias("size")).agg(F.min("at").alias("original"))
-    quoted = units.filter("u.level > 0").select("conv", "at", F.col("u.level").alias("level"), F.posexplode("u.units").alias("k", "unit")).filter("unit <> ''")
+    quoted = asking.select("conv", "at", F.col("u.level").alias("level"), F.posexplode("u.units").alias("k", "unit")).filter("unit <> ''")
     quoted = quoted.select("conv", "at", "level", "k", F.xxhash64("unit").alias("hash"), F.length("unit").alias("size"))
     found = quoted.join(first, ["conv", "hash", "size"], "left").withColumn("original", F.expr("if(original < at, original, null)"))
     best = F.max(F.when(F.col("original").isNotNull(), F.struct(-F.col("level"), "size", "original"))).alias("best")
@@ -94,10 +109,10 @@ def format_conversations(messages: DataFrame) -> DataFrame:
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = in_order(rows.withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit(""))), ["conv", "turn", "role", "text"], "at")
     firsts = rows.groupBy("conv").agg(F.min("at").alias("begin"))
-    quoting = settle(linked(parsed(rows).select("conv", "at", "body", "units")))
+    quoting = settle(linked(rows.select("conv", "at", "text")))
     told = rows.join(firsts, "conv").join(quoting, "at", "left")
     turns = rows.select(F.col("at").alias("parent"), F.col("turn").alias("reply_turn"))
-    told = parsed(told.join(turns, "parent", "left")).drop("units")
+    told = told.join(turns, "parent", "left").withColumn("body", unquoted())
     branching = quoting.filter("parent < at - 1").select("at", "parent")
     if not branching.isEmpty():
         heads = rows.select("conv", "at").join(firsts, "conv").join(branching.select("at", F.lit(True).alias("off")), "at", "left")
