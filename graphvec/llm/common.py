@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import sys
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +12,10 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import in_order, scratch_dir, settle
+
+__all__ = ["bucket_of", "class_sample", "coded", "in_order", "scratch_dir", "settle", "slices", "spread", "sums", "table", "train_once", "words"]
+
 # Functions sent to Python workers travel by value, so that executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
 
@@ -32,29 +32,6 @@ def bucket_of(doc_id: Column | str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(None).cast("long")).cast("string").cast("binary")) % modulus
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share.
-
-    Without that setting a temporary folder serves local sessions only.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="graphvec-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        base = f"file://{base}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/graphvec-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: later stages neither recompute it nor depend on one executor."""
-    path = scratch_dir(df.sparkSession)
-    df.write.parquet(path, compression="zstd")
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """(first row, rows) in runs of about ``limit`` bytes; a longer text stands alone. Nulls become empty texts."""
     texts = pc.fill_null(texts, "")
@@ -112,19 +89,3 @@ def train_once(features: DataFrame, fit, schema: str) -> DataFrame:
     """Runs ``fit`` (all batches of one bounded sample -> one batch) in a single task that can be repeated anywhere."""
     return features.repartition(1).mapInArrow(fit, schema)
 
-
-def in_order(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """The rows numbered 0, 1, ... by ``keys`` over the whole table, in column ``at``.
-
-    Rows are range-partitioned, sorted and written; only each partition's number of rows passes through the driver. A
-    group of any size may span partitions.
-    """
-    mark = F.monotonically_increasing_id()
-    placed = settle(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at, mark))
-    part, mask = F.shiftright(at, 33).cast("int"), (1 << 33) - 1
-    counts = {r.part: r.n for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
-    bases, base = [], 0
-    for p in range(max(counts, default=0) + 1):
-        bases.append(F.lit(base).cast("long"))
-        base += counts.get(p, 0)
-    return placed.withColumn(at, F.element_at(F.array(*bases), part + 1) + F.col(at).bitwiseAND(F.lit(mask)))
