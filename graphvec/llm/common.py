@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import in_order, scratch_dir, settle
 
-__all__ = ["bucket_of", "class_sample", "coded", "in_order", "scratch_dir", "settle", "slices", "spread", "sums", "table", "train_once", "words"]
+__all__ = ["bucket_of", "class_sample", "coded", "in_order", "scratch_dir", "settle", "slices", "spread", "sums", "table", "train_once", "unused", "words"]
 
 # Functions sent to Python workers travel by value, so that executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
@@ -72,6 +72,13 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def class_sample(rows: DataFrame, label: str, per_class: int) -> DataFrame:
     """About ``per_class`` rows of each label (all of a smaller class), picked by the id's hash. Nulls have no label."""
     rows = rows.filter(F.col(label).isNotNull())

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import coded, slices, words
+from .common import coded, slices, unused, words
 
 EDITS = 0.2
 LEAST_WORDS = 5
@@ -255,7 +255,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that contain no item, with their own columns."""
-    free = "_matches"
-    while free in docs.columns:
-        free += "_"
+    free = unused(docs, "_matches")
     return with_matches(docs, benchmark, free).filter(F.size(free) == 0).drop(free)

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, class_sample, slices, sums, train_once
+from .common import bucket_of, class_sample, slices, sums, train_once, unused
 
 FOLDS, HELD_OUT = 4, 2
 PER_LANGUAGE = 600
@@ -114,7 +114,10 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str],
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = class_sample(rows.filter(F.col("text").isNotNull() & (bucket_of("doc_id", FOLDS) != HELD_OUT)), "lang", per_language)
     vectors = rows.select(F.xxhash64("doc_id").alias("h"), F.col("lang").alias("label"), "text").mapInArrow(_vectors, "h long, label string, ids binary, vals binary")
-    names, weights, trust = train_once(vectors, _fit, "names array<string>, weights binary, trust binary").first()
+    fitted = train_once(vectors, _fit, "names array<string>, weights binary, trust binary").first()
+    if fitted is None:  # no training row, hence no task
+        return [], np.zeros((_SIZE + 1, 1), np.float32), np.ones(1)
+    names, weights, trust = fitted
     return list(names), np.frombuffer(weights, np.float32).reshape(_SIZE + 1, -1), np.frombuffer(trust, "<f8")
 
 
@@ -156,15 +159,15 @@ def predictor(model):
 def identify_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """The rows with held_out, lang_pred, score and ambiguous (columns of these names are replaced)."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, per_language))
-    out = docs.drop("held_out", "lang_pred", "score", "ambiguous", "_found").withColumn("_found", predictor(model)(F.col("text").cast("string")))
-    found = {k: F.col(f"_found.{k}") for k in ("lang_pred", "score", "ambiguous")}
-    return out.withColumns({"held_out": F.coalesce(bucket_of("doc_id", FOLDS) == HELD_OUT, F.lit(False)), **found}).drop("_found")
+    out = docs.drop("held_out", "lang_pred", "score", "ambiguous")
+    free = unused(out, "_found")
+    out = out.withColumn(free, predictor(model)(F.col("text").cast("string")))
+    found = {k: F.col(f"{free}.{k}") for k in ("lang_pred", "score", "ambiguous")}
+    return out.withColumns({"held_out": F.coalesce(bucket_of("doc_id", FOLDS) == HELD_OUT, F.lit(False)), **found}).drop(free)
 
 
 def keep_identified(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """The documents whose language can be told, with their own columns; those without a letter are rejected."""
-    free = "_found"
-    while free in docs.columns:
-        free += "_"
+    free = unused(docs, "_found")
     model = docs.sparkSession.sparkContext.broadcast(train(docs, per_language))
     return docs.withColumn(free, predictor(model)(F.col("text").cast("string"))).filter(F.col(f"{free}.lang_pred") != UNDETERMINED).drop(free)

@@ -128,7 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> np.
     known = class_sample(known.filter(bucket_of("doc_id", FOLDS) != HELD_OUT), "label", per_class)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
     vectors = texts.select(F.xxhash64("doc_id").alias("h"), "label", "text").mapInArrow(_vectors, "h long, label int, ids binary, vals binary")
-    return np.frombuffer(train_once(vectors, _ftrl, "weights binary").first()[0], np.float32)
+    fitted = train_once(vectors, _ftrl, "weights binary").first()
+    return np.frombuffer(fitted[0], np.float32) if fitted else np.zeros((1 << BITS) + 1, np.float32)
 
 
 def scorer(weights):

@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: Rows that costs and rejections are estimated on; verdicts use all rows.
 SAMPLE_ROWS = 1000
 MIN_WORDS = 50
@@ -125,6 +127,8 @@ def cascade(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int =
 def with_statistics(docs: DataFrame) -> DataFrame:
     """The rows with the counts that rules refer to, and base_failed."""
     both = F.expr(_let(_WORDS, "w", f"struct(cast(size(w) as long) as n, if(size(w) < 4, 0L, {_REPEATS}) as r)"))
-    out = docs.drop(*STATISTICS, "base_failed", "_words").withColumns({"_words": both, "word_chars": word_chars(), "n_symbols": n_symbols(), "n_dup_lines": n_dup_lines()})
-    out = out.withColumns({"n_words": F.col("_words.n"), "n_repeat_words": F.col("_words.r")}).drop("_words")
+    out = docs.drop(*STATISTICS, "base_failed")
+    free = unused(out, "_words")
+    out = out.withColumns({free: both, "word_chars": word_chars(), "n_symbols": n_symbols(), "n_dup_lines": n_dup_lines()})
+    out = out.withColumns({"n_words": F.col(f"{free}.n"), "n_repeat_words": F.col(f"{free}.r")}).drop(free)
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED))

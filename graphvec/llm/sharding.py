@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import unused
+
 SHARDS = 40
 #: Fixed bytes that each document takes besides its text.
 OVERHEAD = 16
@@ -113,15 +115,16 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, tolerance: float = TO
     parts = max(PARTS, min(MOST_PARTS, -(-rows // (shards * PART_ROWS))))
     cuts = splitters(keyed, shards, parts, tolerance)
     starts = [min(c[0], (1 << 63) - 1) for c in cuts]
-    part, first_slot = _place(F.col("_key"), starts), []
+    at, piece = unused(docs, "_key"), unused(docs, "_part")
+    part, first_slot = _place(F.col(at), starts), []
     below = [0, *(c[2] for c in cuts)]
     for p in range(shards * parts if cuts else 1):
         first_slot.append(below[p] - below[p - p % parts])
-    placed = docs.withColumns({"size": size, "text_crc32": F.crc32(text.cast("binary")), "_key": sort_key(text, F.col("doc_id"))}).withColumn("_part", part)
-    order = W.partitionBy("_part").orderBy("_key", "doc_id", "text_crc32")
+    placed = docs.withColumns({"size": size, "text_crc32": F.crc32(text.cast("binary")), at: sort_key(text, F.col("doc_id"))}).withColumn(piece, part)
+    order = W.partitionBy(piece).orderBy(at, "doc_id", "text_crc32")
     return placed.withColumns({
         "law": F.lit("bytes"),
-        "shard": F.floor(F.col("_part") / parts).cast("int"),
-        "slot": F.element_at(F.array(*(F.lit(x).cast("long") for x in first_slot)), F.col("_part") + 1) + F.row_number().over(order) - 1,
+        "shard": F.floor(F.col(piece) / parts).cast("int"),
+        "slot": F.element_at(F.array(*(F.lit(x).cast("long") for x in first_slot)), F.col(piece) + 1) + F.row_number().over(order) - 1,
         "grown_shard": F.lit(None).cast("int"),
-    }).drop("_key", "_part")
+    }).drop(at, piece)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, slices, words
+from .common import settle, slices, unused, words
 
 SHINGLE = 3
 SEED = 42
@@ -168,5 +168,6 @@ def _labelled(marked: DataFrame, reps: DataFrame) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest id; of rows with one id (or without), one stays."""
-    kept = near_duplicates(docs).select(F.col("component_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    free = unused(docs, "_kept")
+    kept = near_duplicates(docs).select(F.col("component_id").alias(free)).distinct()
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(free)), "left_semi").dropDuplicates(["doc_id"])
