@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -68,13 +68,14 @@ class PropertyGraph:
     def __init__(self, spark: SparkSession, catalog: Catalog | None = None):
         self.spark = spark
         self.catalog = catalog or Catalog()
-        self._views: dict[str, dict[str, View]] = {"node": {}, "edge": {}}
+        self._views: dict[str, Mapping[str, View]] = {"node": {}, "edge": {}}
         self._bags: dict[str, DataFrame] | None = None
 
     @staticmethod
-    def from_views(spark: SparkSession, nodes: Iterable[View], edges: Iterable[View], catalog: Catalog | None = None) -> PropertyGraph:
+    def from_views(spark: SparkSession, nodes: Iterable[View] | Mapping[str, View], edges: Iterable[View] | Mapping[str, View], catalog: Catalog | None = None) -> PropertyGraph:
+        """Views, or mappings of label to view such as ``Deferred``."""
         out = PropertyGraph(spark, catalog)
-        out._views = {"node": {v.label: v for v in nodes}, "edge": {v.label: v for v in edges}}
+        out._views = {k: v if isinstance(v, Mapping) else {x.label: x for x in v} for k, v in (("node", nodes), ("edge", edges))}
         return out
 
     @staticmethod

@@ -6,12 +6,16 @@ key: they are numbered by all columns, and only if ``edge_ids`` asks for it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import PropertyGraph
+from ..plans.catalog import Catalog
 from .scratch import in_order
-from .views import EDGE_KEYS, NODE_KEYS, View, typed_view
+from .views import EDGE_KEYS, NODE_KEYS, Deferred, View, typed_view
 
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 NODE_LABELS = {"Region": 1, "Nation": 2, "Customer": 3, "Supplier": 4, "Part": 5, "Order": 6, "User": 7, "Event": 8, "Chunk": 9, "Document": 10}
@@ -23,41 +27,49 @@ def node_id(label: str, key: str | Column) -> Column:
 
 
 def graph(spark: SparkSession, sf_dir: str, edge_ids: bool = False) -> PropertyGraph:
+    """The whole graph; a table is opened when a query first needs it."""
+
+    @cache
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    def nodes(label: str, df: DataFrame, key: str, props: str) -> View:
-        return typed_view(label, df.select(node_id(label, key).alias("id"), *props.split()), NODE_KEYS)
-
-    def edges(label: str, df: DataFrame, number: Column, src: tuple[str, str], dst: tuple[str, str], props: str) -> View:
-        number = F.lit(EDGE_LABELS[label] * 1_000_000_000) + number.cast("bigint")
-        return typed_view(label, df.select(number.alias("id"), node_id(*src).alias("src"), node_id(*dst).alias("dst"), *props.split()), EDGE_KEYS, (src[0], dst[0]))
-
-    customer, orders, events, lines = (read(t) for t in ("customer", "orders", "events", "lineitem"))
-    documents = read("documents").join(read("labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("toxic").alias("toxic")), "doc_id", "left")
-    lines = in_order(lines, LINE_ORDER, "_at") if edge_ids else lines.withColumn("_at", F.lit(None).cast("bigint"))
-    line = F.col("_at") + 1
-    return PropertyGraph.from_views(
-        spark,
-        [
-            nodes("Region", read("region"), "r_regionkey", "r_name"),
-            nodes("Nation", read("nation"), "n_nationkey", "n_name"),
-            nodes("Customer", customer, "c_custkey", "c_name c_acctbal c_mktsegment"),
-            nodes("Supplier", read("supplier"), "s_suppkey", "s_name s_acctbal"),
-            nodes("Part", read("part"), "p_partkey", "p_name p_brand p_type p_size p_retailprice"),
-            nodes("Order", orders, "o_orderkey", "o_orderstatus o_totalprice o_orderdate o_orderpriority"),
-            nodes("User", events.select("user_id").distinct(), "user_id", ""),
-            nodes("Event", events, "event_id", "ts event_type value"),
-            nodes("Chunk", read("embeddings"), "vec_id", "embedding label").renamed({"label": "cluster"}),
-            nodes("Document", documents, "doc_id", "lang source n_chars quality toxic"),
-        ],
-        [
-            edges("IN_REGION", read("nation"), F.col("n_nationkey") + 1, ("Nation", "n_nationkey"), ("Region", "n_regionkey"), ""),
-            edges("CUSTOMER_IN", customer, F.col("c_custkey") + 1, ("Customer", "c_custkey"), ("Nation", "c_nationkey"), ""),
-            edges("SUPPLIER_IN", read("supplier"), F.col("s_suppkey") + 1, ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"), ""),
-            edges("PLACED", orders, F.col("o_orderkey") + 1, ("Customer", "o_custkey"), ("Order", "o_orderkey"), "o_orderpriority o_totalprice"),
-            edges("CONTAINS", lines, line, ("Order", "l_orderkey"), ("Part", "l_partkey"), "l_quantity l_extendedprice l_discount l_returnflag l_linestatus l_shipdate"),
-            edges("SHIPPED_BY", lines, line, ("Order", "l_orderkey"), ("Supplier", "l_suppkey"), "l_quantity l_returnflag"),
-            edges("EMITTED", events, F.col("event_id") + 1, ("User", "user_id"), ("Event", "event_id"), "event_type value"),
-        ],
-    ).index_everything()
+    @cache
+    def lines() -> DataFrame:
+        return in_order(read("lineitem"), LINE_ORDER, "_at") if edge_ids else read("lineitem").withColumn("_at", F.lit(None).cast("bigint"))
+
+    def documents() -> DataFrame:
+        marks = read("labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("toxic").alias("toxic"))
+        return read("documents").join(marks, "doc_id", "left")
+
+    catalog, nodes, edges = Catalog(), {}, {}
+
+    def add_nodes(name: str, df: Callable[[], DataFrame], key: str, props: str = "", **names: str) -> None:
+        nodes[name] = lambda: typed_view(name, df().select(node_id(name, key).alias("id"), *props.split()), NODE_KEYS).renamed(names)
+        catalog.node_props.update((name, names.get(p, p)) for p in props.split() if p != "embedding")
+
+    def add_edges(label: str, df: Callable[[], DataFrame], number: str, src: tuple[str, str], dst: tuple[str, str], props: str = "") -> None:
+        def make() -> View:
+            ident = F.lit(EDGE_LABELS[label] * 1_000_000_000 + 1) + F.col(number).cast("bigint")
+            return typed_view(label, df().select(ident.alias("id"), node_id(*src).alias("src"), node_id(*dst).alias("dst"), *props.split()), EDGE_KEYS, (src[0], dst[0]))
+
+        edges[label] = make
+        catalog.edge_props.update((label, p) for p in props.split())
+
+    add_nodes("Region", lambda: read("region"), "r_regionkey", "r_name")
+    add_nodes("Nation", lambda: read("nation"), "n_nationkey", "n_name")
+    add_nodes("Customer", lambda: read("customer"), "c_custkey", "c_name c_acctbal c_mktsegment")
+    add_nodes("Supplier", lambda: read("supplier"), "s_suppkey", "s_name s_acctbal")
+    add_nodes("Part", lambda: read("part"), "p_partkey", "p_name p_brand p_type p_size p_retailprice")
+    add_nodes("Order", lambda: read("orders"), "o_orderkey", "o_orderstatus o_totalprice o_orderdate o_orderpriority")
+    add_nodes("User", lambda: read("events").select("user_id").distinct(), "user_id")
+    add_nodes("Event", lambda: read("events"), "event_id", "ts event_type value")
+    add_nodes("Chunk", lambda: read("embeddings"), "vec_id", "embedding label", label="cluster")
+    add_nodes("Document", documents, "doc_id", "lang source n_chars quality toxic")
+    add_edges("IN_REGION", lambda: read("nation"), "n_nationkey", ("Nation", "n_nationkey"), ("Region", "n_regionkey"))
+    add_edges("CUSTOMER_IN", lambda: read("customer"), "c_custkey", ("Customer", "c_custkey"), ("Nation", "c_nationkey"))
+    add_edges("SUPPLIER_IN", lambda: read("supplier"), "s_suppkey", ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"))
+    add_edges("PLACED", lambda: read("orders"), "o_orderkey", ("Customer", "o_custkey"), ("Order", "o_orderkey"), "o_orderpriority o_totalprice")
+    add_edges("CONTAINS", lines, "_at", ("Order", "l_orderkey"), ("Part", "l_partkey"), "l_quantity l_extendedprice l_discount l_returnflag l_linestatus l_shipdate")
+    add_edges("SHIPPED_BY", lines, "_at", ("Order", "l_orderkey"), ("Supplier", "l_suppkey"), "l_quantity l_returnflag")
+    add_edges("EMITTED", lambda: read("events"), "event_id", ("User", "user_id"), ("Event", "event_id"), "event_type value")
+    return PropertyGraph.from_views(spark, Deferred(nodes), Deferred(edges), catalog)

@@ -6,6 +6,7 @@ has one ``props`` map of tagged values, for properties of several kinds and for
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -57,6 +58,24 @@ class View:
         return self.df.select(*self.keys, F.lit(self.label).alias("label"), props.alias("props"))
 
 
+class Deferred(Mapping):
+    """Views by label, each built when first asked for."""
+
+    def __init__(self, makers: Mapping[str, Callable[[], View]]):
+        self._makers, self._built = dict(makers), {}
+
+    def __getitem__(self, label: str) -> View:
+        if label not in self._built:
+            self._built[label] = self._makers[label]()
+        return self._built[label]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 def typed_view(label: str, df: DataFrame, keys: tuple[str, ...], ends: tuple[str | None, str | None] = (None, None)) -> View:
     """A view of a table that has the key columns; all others become properties."""
     props = [f for f in df.schema.fields if f.name not in keys]
