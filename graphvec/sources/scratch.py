@@ -28,10 +28,16 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: later stages neither recompute it nor depend on one executor."""
-    path = scratch_dir(df.sparkSession)
+    """Write ``df`` to the shared folder and read it again: later stages neither recompute it nor depend on one executor.
+
+    The table goes when the driver ends.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark)
     df.write.parquet(path, compression="zstd")
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def in_order(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
