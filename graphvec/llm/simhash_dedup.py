@@ -79,7 +79,13 @@ def _vote(votes: np.ndarray, owner: np.ndarray, hashes: np.ndarray) -> None:
 
 def _map_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text_fingerprints(b.column(1)), pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(text_fingerprints(b.columns[-1]), pa.int64())], [*b.schema.names[:-1], "fp"])
+
+
+def _identity(docs: DataFrame) -> tuple[Column, Column]:
+    """What tells rows apart where ids are missing or repeated: the id (0 if null) and a hash of the text that knows a null id."""
+    doc_id = F.col("doc_id").cast("long")
+    return F.coalesce(doc_id, F.lit(0).cast("long")), F.xxhash64(doc_id.isNull(), F.col("text").cast("string"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -145,12 +151,17 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
+def _rooted(first: DataFrame) -> DataFrame:
+    """(fp, root, rep) of the linked fingerprints; ``first`` has each fingerprint once, with what stands for it as ``rep``."""
+    roots = components(links(first))
+    return roots.join(first, roots.node == first.fp).select("fp", "root", "rep")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id it reaches)."""
     marked = settle(fingerprints(docs))
     first = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_docs")))
-    roots = components(links(first))
-    grouped = roots.join(first, roots.node == first.fp).select("fp", "root", "rep")
+    grouped = _rooted(first)
     least = grouped.groupBy("root").agg(F.min("rep").alias("component"))
     named = grouped.join(least, "root").select("fp", "component")
     reps = settle(first.join(named, "fp", "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "n_docs"))
@@ -167,7 +178,16 @@ def _labelled(marked: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest id; of rows with one id (or without), one stays."""
-    free = unused(docs, "_kept")
-    kept = near_duplicates(docs).select(F.col("component_id").alias(free)).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(free)), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each component, the one with the smallest id (rows without id only where no other is in the
+    component); of several such rows the one with the smallest hash of its text, of equal rows the first."""
+    same_id, same_text = unused(docs, "_same_id"), unused(docs, "_same_text")
+    known, content = _identity(docs)
+    rows = docs.select(F.col("doc_id").isNull().alias("no_id"), known.alias("id"), content.alias("content"), F.col("text").cast("string").alias("text"))
+    marked = rows.mapInArrow(_map_fingerprints, "no_id boolean, id long, content long, fp long")
+    first = settle(marked.groupBy("fp").agg(F.min(F.struct("no_id", "id", "content")).alias("rep")))
+    grouped = settle(_rooted(first))
+    alone = first.join(grouped, "fp", "left_anti").select("rep")
+    kept = alone.unionByName(grouped.groupBy("root").agg(F.min("rep").alias("rep")).select("rep"))
+    kept = kept.select(F.col("rep.id").alias(same_id), F.col("rep.content").alias(same_text))
+    told = docs.withColumns({same_id: known, same_text: content})
+    return told.join(kept, [same_id, same_text], "left_semi").dropDuplicates([same_id, same_text]).drop(same_id, same_text)

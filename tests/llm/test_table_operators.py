@@ -194,6 +194,21 @@ def test_one_of_each_stays(make):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 5, 6, 7, 8, 9, 10]
 
 
+def test_one_of_each_stays_where_ids_are_missing_or_repeated(make, sample):
+    texts = [r.text for r in sample.filter("text is not null and length(text) > 300").dropDuplicates(["text"]).orderBy("doc_id").limit(40).collect()]
+    apart = [t for i, t in enumerate(texts) if all(bin((_fp(t) ^ _fp(o)) & (1 << 64) - 1).count("1") > 2 for o in texts[:i])][:12]
+    rows = [(None, t) for t in apart[:6]] + [(None, apart[0])] * 3 + [(1, t) for t in apart[6:12]] + [(1, apart[7]), (None, apart[8]), (0, apart[5])]
+    kept = [(r.doc_id, r.text) for r in simhash_dedup.keep_one_of_each(make(rows)).collect()]
+    assert sorted(t for _, t in kept) == sorted(apart)
+    # an id goes before none
+    assert dict((t, i) for i, t in kept) == {**dict.fromkeys(apart[:5]), apart[5]: 0, **dict.fromkeys(apart[6:], 1)}
+    assert simhash_dedup.keep_one_of_each(make([])).count() == 0
+
+
+def _fp(text):
+    return int(simhash_dedup.text_fingerprints(pa.array([text]))[0])
+
+
 # chat
 
 
