@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import in_order, scratch_dir, settle
 
-__all__ = ["bucket_of", "class_sample", "coded", "in_order", "scratch_dir", "settle", "slices", "spread", "sums", "table", "train_once", "unused", "words"]
+__all__ = ["bucket_of", "class_sample", "coded", "in_order", "one_of_each_id", "scratch_dir", "settle", "slices", "spread", "sums", "table", "train_once", "unused", "words"]
 
 # Functions sent to Python workers travel by value, so that executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
@@ -80,13 +80,25 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def class_sample(rows: DataFrame, label: str, per_class: int) -> DataFrame:
-    """About ``per_class`` rows of each label (all of a smaller class), picked by the id's hash. Nulls have no label."""
+    """Rows of about ``per_class`` ids of each label (all of a smaller class), picked by the id's hash. Nulls have no label.
+
+    Ids are counted, not rows (to a few percent), so that an id with very many rows doesn't thin out the others.
+    """
     rows = rows.filter(F.col(label).isNotNull())
-    counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
+    counts = rows.groupBy(label).agg(F.approx_count_distinct("doc_id").alias("_n"))
     every = F.greatest(F.lit(1), F.ceil(F.col("_n") / per_class)).cast("long")
     return rows.join(F.broadcast(counts.select(F.col(label).alias("_label"), every.alias("_every"))), F.col(label) == F.col("_label")).filter(F.pmod(F.xxhash64("doc_id"), "_every") == 0).drop("_label", "_every")
 
 
+def one_of_each_id(rows: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label, text): of each id and label the row whose text has the smallest hash.
+
+    An id that a large share of all rows have thus adds one row to a sample; map tasks drop the others before the shuffle.
+    """
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("t")))
+    return rows.groupBy("doc_id", label).agg(least.alias("_least")).select("doc_id", label, F.col("_least.t").alias("text"))
+
+
 def spread(hashes: np.ndarray, bits: int) -> np.ndarray:
     """Feature numbers below 2 ** bits from 64-bit hashes."""
     return (hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)

@@ -6,7 +6,7 @@ by how well that bit was learnt; the codeword with the least loss is the predict
 score. A text is flagged ambiguous if the two best codewords are closer than ``MARGIN``.
 
 Up to seven languages use all distinct splits (2 ** (k - 1) - 1 bits); more use fixed pseudo-random codewords.
-Training takes at most about ``PER_LANGUAGE`` rows of each language outside the held-out fold; whole texts are used.
+Training takes about ``PER_LANGUAGE`` ids of each language at most, outside the held-out fold, and one row of each id; whole texts are used.
 
 Defined cases: a null text and one without a letter is ``und`` with score 0, as is every text if nothing was learnt;
 with one language, all other texts have that one with score 1; repeated rows agree; empty tables give no rows.
@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, class_sample, slices, sums, train_once, unused
+from .common import bucket_of, class_sample, one_of_each_id, slices, sums, train_once, unused
 
 FOLDS, HELD_OUT = 4, 2
 PER_LANGUAGE = 600
@@ -113,7 +113,7 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray, np.ndarray]:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = class_sample(rows.filter(F.col("text").isNotNull() & (bucket_of("doc_id", FOLDS) != HELD_OUT)), "lang", per_language)
-    vectors = rows.select(F.xxhash64("doc_id").alias("h"), F.col("lang").alias("label"), "text").mapInArrow(_vectors, "h long, label string, ids binary, vals binary")
+    vectors = one_of_each_id(rows, "lang").select(F.xxhash64("doc_id").alias("h"), F.col("lang").alias("label"), "text").mapInArrow(_vectors, "h long, label string, ids binary, vals binary")
     fitted = train_once(vectors, _fit, "names array<string>, weights binary, trust binary").first()
     if fitted is None:  # no training row, hence no task
         return [], np.zeros((_SIZE + 1, 1), np.float32), np.ones(1)

@@ -5,8 +5,8 @@ characters as they are) and whether its three-word window stood earlier in the t
 bigrams, the repeat marks and the length class are hashed to 2 ** BITS features. A text's vector holds each kind's
 relative frequencies, so a score is one sparse dot product that needs no sorting.
 
-Training takes labelled documents outside the held-out fold, at most about ``PER_CLASS`` rows of each label, in one
-pass order fixed by the id's hash; whole texts are used. Labels, language, source and id are no inputs.
+Training takes labelled documents outside the held-out fold, about ``PER_CLASS`` ids of each label at most and one row
+of each id, in one pass order fixed by the id's hash; whole texts are used. Labels, language, source and id are no inputs.
 
 Defined cases: null and empty texts are scored by bias and length class; several labels of one id count as the smallest;
 without both labels every score is the labels' mean (0.5 if there are none); repeated rows get equal scores; empty tables give no rows.
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, class_sample, coded, slices, spread, sums, train_once, words
+from .common import bucket_of, class_sample, coded, one_of_each_id, slices, spread, sums, train_once, words
 
 BITS = 18
 FOLDS, HELD_OUT = 4, 2
@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> np.
     known = labels.filter(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("label"))
     known = class_sample(known.filter(bucket_of("doc_id", FOLDS) != HELD_OUT), "label", per_class)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
-    vectors = texts.select(F.xxhash64("doc_id").alias("h"), "label", "text").mapInArrow(_vectors, "h long, label int, ids binary, vals binary")
+    vectors = one_of_each_id(texts, "label").select(F.xxhash64("doc_id").alias("h"), "label", "text").mapInArrow(_vectors, "h long, label int, ids binary, vals binary")
     fitted = train_once(vectors, _ftrl, "weights binary").first()
     return np.frombuffer(fitted[0], np.float32) if fitted else np.zeros((1 << BITS) + 1, np.float32)
 

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from graphvec.llm import chat_format, decontaminate, language_id, packing, quality_classifier, sharding, simhash_dedup
+from graphvec.llm import chat_format, common, decontaminate, language_id, packing, quality_classifier, sharding, simhash_dedup
 
 from .conftest import CLASHES, ODD
 from .test_text_operators import lower, words
@@ -325,3 +325,21 @@ def test_stages_keep_the_columns(spark, sf_dir, make):
         assert out.columns == odd.columns and out.count() <= len(ODD)
         assert stage(spark, odd.limit(0), sf_dir).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, odd, sf_dir).count() > 0
+
+
+def test_an_id_of_most_rows_adds_one_row_to_a_sample(spark):
+    rows = [(7, f"copy {i % 50}", "aa") for i in range(3000)] + [(i, f"text {i}", "aa") for i in range(100, 400)] + [(i, None, "bb") for i in range(500, 520)]
+    picked = common.one_of_each_id(common.class_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "lang", 60), "lang").collect()
+    assert len({r.doc_id for r in picked}) == len(picked)
+    assert sum(r.lang == "bb" and r.text is None for r in picked) == 20
+    assert 30 <= sum(r.lang == "aa" for r in picked) <= 90
+    assert {(r.doc_id, r.text, r.lang) for r in picked} <= set(rows)
+
+
+def test_classifiers_learn_beside_an_id_of_most_rows(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    hot = labels.filter("quality = 0").agg({"doc_id": "min"}).first()[0]
+    many = docs.unionByName(docs.filter(f"doc_id = {hot}").selectExpr("*", "explode(sequence(1, 400)) as copy").drop("copy"))
+    names, weights, _ = language_id.train(docs)
+    assert (language_id.train(many)[0], np.array_equal(language_id.train(many)[1], weights)) == (names, True)
+    assert np.array_equal(quality_classifier.train(many, labels), quality_classifier.train(docs, labels))
