@@ -422,6 +422,16 @@ def knn_batch(g: PropertyGraph) -> DataFrame:
     return batch_nearest(g.view("node", "Chunk"), "embedding", queries, 5).select("query_id", "id", "rank")
 
 
+@_register(
+    f"SELECT query_id, id, CAST(rank AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, c.id, row_number() OVER (PARTITION BY q.vec_id ORDER BY -list_cosine_similarity(c.embedding, q.embedding), c.id) AS rank "
+    f"FROM {_n('Chunk')} c, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0) q) WHERE rank <= 5"
+)
+def knn_batch_all(g: PropertyGraph) -> DataFrame:
+    wanted = g.view("node", "Chunk").df.filter(((F.col("id") - 9000000001) % 20 == 0) & F.col("embedding").isNotNull()).select("id", "embedding")
+    queries = ((r.id - 9000000001, r.embedding) for r in wanted.toLocalIterator())
+    return batch_nearest(g.view("node", "Chunk"), "embedding", queries, 5).select("query_id", "id", "rank")
+
+
 # statistics and constraints
 
 

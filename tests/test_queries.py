@@ -46,3 +46,19 @@ def test_hops_are_semi_joins_and_limits_top_k(spark, sf_dir):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_batch_search_asks_every_twentieth_vector(spark, tmp_path):
+    import numpy as np
+
+    # over one block of queries, and many equal vectors
+    vectors = np.random.default_rng(1).normal(size=(21_000, 4)).round(1).astype("float32")
+    vectors[::3] = vectors[0]
+    spark.createDataFrame([(i, v, 0) for i, v in enumerate(vectors.tolist())], "vec_id bigint, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = graph_queries.queries()["knn_batch_all"](spark, str(tmp_path)).toPandas()
+    assert len(got) == 1050 * 5 and set(got.query_id) == set(range(0, 21_000, 20))
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1)[:, None]
+    found = unit[got.id - 9000000001]
+    for q, own in got.assign(s=(found * unit[got.query_id]).sum(axis=1)).groupby("query_id"):
+        best = np.sort(unit @ unit[q])[::-1][:5]
+        assert np.allclose(own.sort_values("rank").s, best, atol=1e-9)
