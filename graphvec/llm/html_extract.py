@@ -8,7 +8,8 @@ text. For every node the characters per tag, corrected for links, give its densi
 
 (C characters, T tags, LC and LT those in links, Cb and LCb of the body; zeros count as one). The node whose children
 (and own text) have the largest sum of densities is the content, widened to the ``article`` or ``main`` element around it. The
-smallest density on its path to the body is the threshold: blocks below it that consist mostly of links are left out.
+smallest density on its path to the body is the threshold: blocks below it that consist mostly of links are left out, unless
+they are in an ``article`` or ``main`` or hold a heading, list, table or caption.
 
 Defined cases: null or empty html gives an empty text; pages cut anywhere, unclosed or stray tags and unknown elements
 are read as browsers do for blocks; ``br`` is white space; a page of any length is read whole; ties go to the outer node;
@@ -41,11 +42,12 @@ _OWN = frozenset("article post entry content main story body text".split())
 _CLOSE_P = _BLOCKS - frozenset("html body caption tbody td tfoot th thead tr option optgroup legend summary".split())
 _SCOPE = frozenset("html table td th caption button object".split())
 _SIBLINGS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tbody", "thead", "tfoot", "tr", "td", "th"), "thead": ("tbody", "thead", "tfoot"), "tfoot": ("tbody", "thead", "tfoot", "tr", "td", "th")}
+_KEPT = frozenset("h1 h2 h3 h4 h5 h6 p pre ul ol dl dir li dt dd table caption thead tbody tfoot tr td th figcaption".split())
 _HOLDERS = frozenset("ul ol dl table select menu html".split())
 
 
 class _Node:
-    __slots__ = ("name", "parent", "parts", "skip", "inline", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "parent", "parts", "skip", "inline", "chars", "tags", "link_chars", "link_tags", "density", "total", "kept")
 
     def __init__(self, name: str, parent: _Node | None, skip: str, inline: bool):
         self.name, self.parent, self.skip, self.inline = name, parent, skip, inline
@@ -53,6 +55,8 @@ class _Node:
         self.parts: list = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        #: Holds text in a block that belongs to an article by its element.
+        self.kept = False
 
 
 def _unwanted(name: str, attributes: str, inside: str, in_article: bool) -> str:
@@ -184,6 +188,8 @@ def _measure(nodes: list[_Node]) -> None:
                 n.tags += x.tags + 1
                 n.link_chars += x.link_chars
                 n.link_tags += x.link_tags
+                n.kept |= x.kept
+        n.kept |= n.name in _KEPT and n.chars > 0
     root = nodes[0]
     ratio = root.link_chars / max(1, root.chars)
 
@@ -235,7 +241,7 @@ def main_text(page: str | None) -> str:
             flush()
         else:
             flush()
-            if x is not best and x.name not in ("p", "pre") and x.link_chars * 2 > x.chars and x.density < threshold:
+            if not wide and x is not best and not x.kept and x.link_chars * 2 > x.chars and x.density < threshold:
                 continue
             todo.append(None)
             todo += reversed(x.parts)

@@ -266,6 +266,19 @@ def test_main_text():
         html_extract.main_text(PAGE.format(body)[:cut])
 
 
+@pytest.mark.parametrize("element", ["article", "main", "div"])
+def test_links_of_an_article_stay(element):
+    said = "Plain words of the article, which go on for a line or two so that the density of the body is high. " * 3
+    links = [f"Source number {i} with a title" for i in range(5)]
+    parts = "".join(f"<p>{said}</p>" for _ in range(8)), "".join(f'<li><a href="/{i}">{x}</a>' for i, x in enumerate(links))
+    body = f'<{element}><div><h1><a href="/t">A headline of thirty letters</a></h1></div>{parts[0]}<table><caption><a href="/c">Its caption</a><tr><td><a href="/d">Its cell</a></table><ul>{parts[1]}</ul><div class="related"><a href="/x">Elsewhere</a></div></{element}>'
+    wanted = ["A headline of thirty letters", *[said.strip()] * 8, "Its caption", "Its cell", *links]
+    assert html_extract.main_text(PAGE.format(body)).split("\n") == wanted
+    bar = '<div><a href="/1">One place</a> <a href="/2">Another place</a></div>'
+    got = html_extract.main_text(PAGE.format(body.replace("<table>", bar + "<table>"))).split("\n")
+    assert got == (wanted if element == "div" else wanted[:9] + ["One place Another place"] + wanted[9:])
+
+
 @pytest.mark.parametrize("page,text", [(None, ""), ("", ""), ("<p>", ""), ("just text", "just text"), ("<article></article>", ""), ("a<b", "a"), ("<div class=ad>buy <article><p>real text</article>", "real text"), ("&lt;p&gt; &am", "<p> &am"), ("<td>x</td></p></div>", "x"), ("<!-- open", "")])
 def test_broken_pages(page, text):
     assert html_extract.main_text(page) == text
