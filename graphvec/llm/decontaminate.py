@@ -12,15 +12,19 @@ on the step and the word, which turns edit distance into Hamming distance. Each
 walk; WALKS * TABLES tables reach the target recall (RECALL, measured against brute force in the tests). Items that
 share a table entry with a window are verified exactly by semi-global edit distance on the words around the window.
 
+Items of fewer than LEAST_WORDS words, which EDITS allows no edits, are looked up exactly: their words in a row, or, if they
+have characters of a script without blanks, their characters anywhere in the text without its blanks.
+
 Items come in blocks of at most BLOCK_ITEMS items and BLOCK_BYTES bytes, so that a broadcast block is bounded whatever the benchmark's size.
 
-Defined cases: null and empty texts contain no item; items of fewer than LEAST_WORDS words name no passage and are not searched;
+Defined cases: null and empty texts contain no item; items without a word are not searched;
 equal items are reported each; documents of any length are searched whole; of several places the one with the fewest edits, then the
 first, is reported; empty tables give no matches; other columns travel along, a column named ``matches`` is replaced.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +44,11 @@ BLOCK_ITEMS, BLOCK_BYTES = 2000, 4 << 20
 SLICE = 12 << 20
 _BLOCK = 8
 _MATCH = "array<struct<item_id:bigint,edits:int,first_word:bigint,n_words:bigint>>"
+#: Characters of an item or text that are hashed at once to find places for characters of an item.
+_ANCHOR = 8
+_WORD = re.compile(r"[^ \t-\r]+")
+_NO_BLANKS = re.compile(r"[\u0e00-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003ffff]")
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -58,6 +67,19 @@ def _mix(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return left * np.uint64(0x9E3779B97F4A7C15) ^ (right * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
 
 
+def _joined(words: list[str]) -> str:
+    return "".join(words).translate(_LOWER)
+
+
+def _windows(values: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each ``size`` values in a row."""
+    n = max(0, len(values) - size + 1)
+    out = values[:n].copy()
+    for j in range(1, size):
+        out = _mix(out, values[j : j + n])
+    return out
+
+
 def allowed(n_words: int) -> int:
     return int(n_words * EDITS + 1e-9)
 
@@ -113,12 +135,76 @@ def best_fit(item: list[int], text: list[int]) -> tuple[int, int]:
     return best
 
 
+class Short:
+    """Items of few words, ready to be looked up. ``places`` are their numbers in the block."""
+
+    def __init__(self, places: list[int], words: list[np.ndarray], texts: list[str]):
+        #: By number of words: sorted hashes, the words and the items that have them.
+        self.runs: dict[int, tuple[np.ndarray, np.ndarray, list[list[int]]]] = {}
+        grouped: dict[int, dict[tuple, list[int]]] = {}
+        for place, w in zip(places, words, strict=True):
+            grouped.setdefault(len(w), {}).setdefault(tuple(w.tolist()), []).append(place)
+        for size, groups in grouped.items():
+            rows = np.array(list(groups), np.uint64)
+            keys = np.array([_windows(r, size)[0] for r in rows], np.uint64)
+            order = np.argsort(keys, kind="stable")
+            owners = list(groups.values())
+            self.runs[size] = keys[order], rows[order], [owners[i] for i in order]
+        #: By number of hashed characters: the characters and items of each hash.
+        self.chars: dict[int, dict[int, list[tuple[str, int]]]] = {}
+        for place, text in zip(places, texts, strict=True):
+            joined = _joined(_WORD.findall(text)).strip(_PUNCTUATION + "。、，．？！：；「」『』（）《》〈〉【】…・")
+            if _NO_BLANKS.search(joined):
+                size = min(len(joined), _ANCHOR)
+                key = int(_windows(np.frombuffer(joined[:size].encode("utf-32-le"), "<u4").astype(np.uint64), size)[0])
+                self.chars.setdefault(size, {}).setdefault(key, []).append((joined, place))
+
+    def search(self, texts: pa.Array, h: np.ndarray, offsets: np.ndarray, found: list[dict[int, tuple]]) -> None:
+        """Adds (edits, first word, words) of the first place of each item."""
+        owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
+        for size, (keys, rows, owners) in self.runs.items():
+            if len(h) < size:
+                continue
+            windows = _windows(h, size)
+            entry = np.minimum(np.searchsorted(keys, windows), len(keys) - 1)
+            # equal hashes of different items are neighbours
+            same = [np.flatnonzero((keys[np.minimum(entry + d, len(keys) - 1)] == windows) & (entry + d < len(keys)) & (owner[: len(windows)] == owner[size - 1 :])) for d in range(int(np.unique(keys, return_counts=True)[1].max()))]
+            for d, at in enumerate(same):
+                e = entry[at] + d
+                right = (h[at[:, None] + np.arange(size)] == rows[e]).all(axis=1)
+                at, e = at[right], e[right]
+                _, first = np.unique(owner[at] * np.int64(len(keys)) + e, return_index=True)
+                for p, k in zip(at[first].tolist(), e[first].tolist(), strict=True):
+                    for place in owners[k]:
+                        found[owner[p]][place] = (0, p - int(offsets[owner[p]]), size)
+        if not self.chars:
+            return
+        for doc, text in enumerate(texts.to_pylist()):
+            if not text or not _NO_BLANKS.search(text):
+                continue
+            parts = _WORD.findall(text)
+            joined = _joined(parts)
+            starts = np.cumsum([0, *(len(w) for w in parts)])
+            codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+            for size, wanted in self.chars.items():
+                windows = _windows(codes, size)
+                for at in np.flatnonzero(np.isin(windows, np.fromiter(wanted, np.uint64, len(wanted)))).tolist():
+                    for item, place in wanted[int(windows[at])]:
+                        if place not in found[doc] and joined.startswith(item, at):
+                            first, last = (int(np.searchsorted(starts, x, side="right")) - 1 for x in (at, at + len(item) - 1))
+                            found[doc][place] = (0, first, last - first + 1)
+
+
 class Items:
     """One block of benchmark items, ready to be searched for."""
 
     def __init__(self, ids: list, texts: list[str]):
         h, offsets, _ = _hashes(pa.array(texts, pa.string()))
         long = np.diff(offsets) >= LEAST_WORDS
+        self.all_ids, few = ids, np.flatnonzero((np.diff(offsets) > 0) & ~long).tolist()
+        self.short = Short(few, [h[offsets[i] : offsets[i + 1]] for i in few], [texts[i] for i in few]) if few else None
+        #: Number in the block of each item of enough words.
+        self.places = np.flatnonzero(long).tolist()
         self.ids = [i for i, k in zip(ids, long, strict=True) if k]
         self.words = [h[a:b] for a, b, k in zip(offsets[:-1], offsets[1:], long, strict=True) if k]
         self.lists = [w.tolist() for w in self.words]
@@ -146,11 +232,18 @@ class Items:
         self.dense = max(1, min((-(-need // -(-(s - 1) // _BLOCK)) for s, need in zip(self.sizes, self.least, strict=True)), default=1))
 
     def search(self, texts: pa.Array) -> list[list[dict]]:
-        found: list[dict[int, tuple]] = [{} for _ in range(len(texts))]
         h, offsets, known = _hashes(texts, self.vocabulary)
+        found = [{self.places[i]: x for i, x in f.items()} for f in self._search(h, offsets, known)]
+        if self.short:
+            self.short.search(texts, h, offsets, found)
+        return [[{"item_id": self.all_ids[i], "edits": e, "first_word": a, "n_words": n} for i, (e, a, n) in sorted(f.items())] for f in found]
+
+    def _search(self, h: np.ndarray, offsets: np.ndarray, known: np.ndarray) -> list[dict[int, tuple]]:
+        """(edits, first word, words) of the items of enough words in each text."""
+        found: list[dict[int, tuple]] = [{} for _ in range(len(offsets) - 1)]
         if not self.ids or len(h) < 2:
-            return [[] for _ in found]
-        owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(offsets))
+            return found
+        owner = np.repeat(np.arange(len(found), dtype=np.int32), np.diff(offsets))
         at = np.flatnonzero(known[1:] & known[:-1] & (owner[1:] == owner[:-1]))
         pairs = _mix(h[at], h[at + 1])
         found_at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
@@ -162,7 +255,7 @@ class Items:
         reach = np.minimum(np.arange(len(hit)) + _BLOCK, len(hit))
         dense = np.flatnonzero(total[reach] - total[:-1] >= self.dense)
         if not len(dense):
-            return [[] for _ in found]
+            return found
         widest = self.sizes[-1]
         edge = np.zeros(len(h) + 1, np.int64)
         np.add.at(edge, np.maximum(dense - widest, 0), 1)
@@ -195,7 +288,7 @@ class Items:
                 if edits <= k and (i not in found[doc] or edits < found[doc][i][0]):
                     _, back = best_fit(self.lists[i][::-1], text[:end][::-1])
                     found[doc][i] = (edits, lo - begin + end - back, back)
-        return [[{"item_id": self.ids[i], "edits": e, "first_word": a, "n_words": n} for i, (e, a, n) in sorted(f.items())] for f in found]
+        return found
 
 
 def _merged(starts: list[int], gap: int) -> Iterator[tuple[int, int]]:

@@ -246,6 +246,14 @@ def test_contaminated_documents(spark, make):
     assert decontaminate.clean(make(rows), benchmark.limit(0)).count() == len(rows)
 
 
+def test_items_of_few_words_are_found_exactly(spark, make):
+    benchmark = spark.createDataFrame([(1, "What is it?"), (2, "Paris"), (3, "今天天气怎么样？"), (4, "what is IT"), (5, "one two three four"), (6, "…"), (7, "水")], "item_id bigint, text string")
+    rows = [(1, "So: what\nis it? Well, what is it."), (2, "what is not it, parisian"), (3, "(PARIS)"), (4, "他问今天 天气怎么样？我说好"), (5, "two three four one"), (6, "zero one two three four five"), (7, "What is"), (8, "it? Paris"), (9, None), (10, "喝水吧 水")]
+    got = sorted((r.doc_id, r.item_id, r.edits, r.first_word, r.n_words) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), benchmark).collect())
+    assert got == [(1, 1, 0, 1, 3), (1, 4, 0, 1, 3), (3, 2, 0, 0, 1), (4, 3, 0, 0, 2), (6, 5, 0, 1, 4), (8, 2, 0, 1, 1), (10, 7, 0, 1, 1)]
+    assert sorted(r.doc_id for r in decontaminate.clean(spark.createDataFrame(rows, "doc_id bigint, text string"), benchmark).collect()) == [2, 5, 7, 9]
+
+
 # extraction
 
 
