@@ -450,6 +450,23 @@ def stats_indexes(g: PropertyGraph) -> DataFrame:
     return g.spark.createDataFrame(rows, "label string, prop string")
 
 
+_INDEXED = {
+    "node": {
+        "Chunk": "cluster", "Customer": "c_acctbal c_mktsegment c_name", "Document": "lang n_chars quality source toxic", "Event": "event_type ts value", "Nation": "n_name",
+        "Order": "o_orderdate o_orderpriority o_orderstatus o_totalprice", "Part": "p_brand p_name p_retailprice p_size p_type", "Region": "r_name", "Supplier": "s_acctbal s_name",
+    },
+    "edge": {
+        "CONTAINS": "l_discount l_extendedprice l_linestatus l_quantity l_returnflag l_shipdate", "EMITTED": "event_type value", "PLACED": "o_orderpriority o_totalprice", "SHIPPED_BY": "l_quantity l_returnflag",
+    },
+}
+
+
+@_register("SELECT * FROM (VALUES " + ", ".join(f"('{kind}', '{label}', '{p}')" for kind, labels in _INDEXED.items() for label, props in labels.items() for p in props.split()) + ") t(kind, label, prop)")
+def stats_indexes_all(g: PropertyGraph) -> DataFrame:
+    rows = [(kind, label, p) for kind in ("node", "edge") for label, props in g.catalog.listed(kind).items() for p in props]
+    return g.spark.createDataFrame(rows, "kind string, label string, prop string")
+
+
 @_register(f"SELECT c_mktsegment AS value, count(*) AS n FROM {_n('Customer')} GROUP BY 1 HAVING count(*) > 1")
 def unique_violation_report(g: PropertyGraph) -> DataFrame:
     return g.duplicates("node", "Customer", "c_mktsegment")

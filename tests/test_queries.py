@@ -62,3 +62,10 @@ def test_batch_search_asks_every_twentieth_vector(spark, tmp_path):
     for q, own in got.assign(s=(found * unit[got.query_id]).sum(axis=1)).groupby("query_id"):
         best = np.sort(unit @ unit[q])[::-1][:5]
         assert np.allclose(own.sort_values("rank").s, best, atol=1e-9)
+
+
+def test_all_indexes_are_listed(spark, sf_dir):
+    catalog = graph(spark, sf_dir).catalog
+    got = {tuple(r) for r in graph_queries.queries()["stats_indexes_all"](spark, sf_dir).collect()}
+    assert got == {(kind, *x) for kind in ("node", "edge") for x in catalog.props(kind)}
+    assert {"Customer", "Document", "Event", "Order", "Supplier", "CONTAINS", "PLACED"} <= {label for _, label, _ in got}
