@@ -80,14 +80,15 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def class_sample(rows: DataFrame, label: str, per_class: int) -> DataFrame:
-    """Rows of about ``per_class`` ids of each label (all of a smaller class), picked by the id's hash. Nulls have no label.
+    """Rows of about ``per_class`` ids of each label (all of a smaller class), whose hash is below a share. Nulls have no label.
 
     Ids are counted, not rows (to a few percent), so that an id with very many rows doesn't thin out the others.
     """
     rows = rows.filter(F.col(label).isNotNull())
     counts = rows.groupBy(label).agg(F.approx_count_distinct("doc_id").alias("_n"))
-    every = F.greatest(F.lit(1), F.ceil(F.col("_n") / per_class)).cast("long")
-    return rows.join(F.broadcast(counts.select(F.col(label).alias("_label"), every.alias("_every"))), F.col(label) == F.col("_label")).filter(F.pmod(F.xxhash64("doc_id"), "_every") == 0).drop("_label", "_every")
+    below = F.ceil(F.lit(per_class) / F.col("_n") * (1 << 30))
+    picked = F.shiftrightunsigned(F.xxhash64("doc_id"), 34) < F.col("_below")
+    return rows.join(F.broadcast(counts.select(F.col(label).alias("_label"), below.alias("_below"))), F.col(label) == F.col("_label")).filter(picked).drop("_label", "_below")
 
 
 def one_of_each_id(rows: DataFrame, label: str) -> DataFrame:

@@ -343,3 +343,9 @@ def test_classifiers_learn_beside_an_id_of_most_rows(spark, sf_dir):
     names, weights, _ = language_id.train(docs)
     assert (language_id.train(many)[0], np.array_equal(language_id.train(many)[1], weights)) == (names, True)
     assert np.array_equal(quality_classifier.train(many, labels), quality_classifier.train(docs, labels))
+
+
+@pytest.mark.parametrize("n", [2400, 2800, 5300])
+def test_a_sample_is_near_its_size_just_above_it(spark, n):
+    rows = spark.range(n).selectExpr("id as doc_id", "'aa' as lang")
+    assert abs(common.class_sample(rows, "lang", 2400).count() - 2400) <= 300
