@@ -44,7 +44,7 @@ def _shape(word: bytes) -> str:
         return "a"
     for pattern, to in _SHAPES[1:] if s.isupper() else _SHAPES:
         s = pattern.sub(to, s)
-    return _RUN.sub(r"\1", s)[:16]
+    return _RUN.sub(r"\1", s)
 
 
 def _features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -185,6 +185,12 @@ def test_quality_odd_rows(spark, make):
     assert len(set(CLASHES) - set(quality_classifier.keep_good(make(ODD, clash=True), labels).columns)) == 0
 
 
+def test_the_whole_shape_of_a_word_counts():
+    head = "a-0-" * 8
+    a, b = (quality_classifier._features(pa.array([head + tail])) for tail in ("A%", "0_"))
+    assert a[2][0].tolist() != b[2][0].tolist()
+
+
 # decontamination
 
 
