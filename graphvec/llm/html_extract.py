@@ -1,15 +1,20 @@
 """Main text of web pages by composite text density.
 
 A page is read once into a tree of block elements; formatting elements only contribute text. Scripts, styles, menus,
-forms, sidebars, notices, adverts, footers, site headers and reader comments, told by element, role, class or id, hold no
-text. For every node the characters per tag, corrected for links, give its density:
+forms, sidebars, notices, adverts, footers, site headers and reader comments hold no text. They are told by element, role, or a
+whole class or id: each of its parts must be a word for such things or a neutral one ("site-footer", but not "social-history").
+For every node the characters per tag, corrected for links, give its density:
 
     C / T * log(1 + C / LC * T / LT) / log(1 + log(C / (C - LC) * LC + LCb / Cb * C + e))
 
 (C characters, T tags, LC and LT those in links, Cb and LCb of the body; zeros count as one). The node whose children
-(and own text) have the largest sum of densities is the content, widened to the ``article`` or ``main`` element around it. The
-smallest density on its path to the body is the threshold: blocks below it that consist mostly of links are left out, unless
-they are in an ``article`` or ``main`` or hold a heading, list, table or caption.
+(and own text) have the largest sum of densities is the densest subtree. The smallest density on its path to the body is
+the threshold. The content is the outermost node on that path whose density is nearer to the densest subtree's than to the threshold (by
+ratio), or the outermost ``article`` on the path, as density cannot tell an article's own lists of links from menus. Of what lies outside,
+titles before the path are kept. Inside, all blocks are kept but those below the threshold that consist mostly of
+links, and these too in an ``article`` or ``main`` or if they hold a heading, list, table or caption.
+
+Words that also stand for content ("notice", "related", "banner") don't remove a block with the densest subtree and over half of the page's plain text.
 
 Defined cases: null or empty html gives an empty text; pages cut anywhere, unclosed or stray tags and unknown elements
 are read as browsers do for blocks; ``br`` is white space; a page of any length is read whole; ties go to the outer node;
@@ -34,33 +39,54 @@ _NAME_PART = re.compile(r"[a-z0-9]+")
 _BLOCKS = frozenset("html body address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_DROPPED = frozenset("head nav footer aside form button select menu dialog svg canvas object template search audio video map datalist math".split())
+_DROPPED = frozenset("head nav footer aside form button select menu dialog svg canvas object template search audio video datalist".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
-_MARKS = frozenset("ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription sidebar sidebars menu menus nav navbar navigation navi breadcrumb breadcrumbs footer masthead topbar toolbar pagination pager popup modal overlay login signup social share sharing related recommended recommendations widget widgets copyright disclaimer".split())
-_COMMENTS = frozenset("comment comments commentlist disqus respond replies discussion".split())
-_OWN = frozenset("article post entry content main story body text".split())
+_MARKS = frozenset("ad ads adv advert adverts advertisement advertisements advertising sponsor sponsors sponsored cookie cookies consent gdpr newsletter sidebar sidebars menu menus submenu nav navbar navigation navi breadcrumb breadcrumbs footer masthead topbar toolbar pagination pager popup login signup".split())
+_AMBIGUOUS = frozenset("notice notices alert alerts banner promo promotion promotions subscribe subscription overlay modal social share sharing related recommended recommendations widget widgets copyright disclaimer header".split())
+_COMMENTS = frozenset("comment comments commentlist disqus respond replies".split())
+_NEUTRAL = frozenset("area articles bar block body bottom box button buttons col column container content desktop fixed floating global group holder icon icons inner item items js large left link links list main mobile module outer page panel posts primary region right row secondary section site slot small sticky stories text thread title top trail unit wide wrap wrapper zone".split())
+_OF_COMMENTS = _NEUTRAL | frozenset("article discussion entry form post reader story user".split())
 _CLOSE_P = _BLOCKS - frozenset("html body caption tbody td tfoot th thead tr option optgroup legend summary".split())
 _SCOPE = frozenset("html table td th caption button object".split())
 _SIBLINGS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tbody", "thead", "tfoot", "tr", "td", "th"), "thead": ("tbody", "thead", "tfoot"), "tfoot": ("tbody", "thead", "tfoot", "tr", "td", "th")}
 _KEPT = frozenset("h1 h2 h3 h4 h5 h6 p pre ul ol dl dir li dt dd table caption thead tbody tfoot tr td th figcaption".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _HOLDERS = frozenset("ul ol dl table select menu html".split())
 
 
 class _Node:
-    __slots__ = ("name", "parent", "parts", "skip", "inline", "chars", "tags", "link_chars", "link_tags", "density", "total", "kept")
+    __slots__ = ("name", "parent", "parts", "skip", "inline", "doubtful", "own", "links", "chars", "tags", "link_chars", "link_tags", "density", "total", "kept")
 
-    def __init__(self, name: str, parent: _Node | None, skip: str, inline: bool):
+    def __init__(self, name: str, parent: _Node | None, skip: str, inline: bool, doubtful: bool = False):
         self.name, self.parent, self.skip, self.inline = name, parent, skip, inline
+        #: Marked by a word that content has as well.
+        self.doubtful = doubtful
         #: Text and child blocks in order.
         self.parts: list = []
+        #: Characters of its own text, those of them in links, and its own links.
+        self.own, self.links = (0, 0), 0
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
         #: Holds text in a block that belongs to an article by its element.
         self.kept = False
 
 
+def _mark(names: str, in_article: bool) -> str:
+    """What the classes and ids say: "comments", "other", "doubtful" or ""."""
+    found = ""
+    for name in names.split():
+        parts = {p for p in _NAME_PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if not p.isdigit()}
+        if parts & _COMMENTS and parts <= _COMMENTS | _OF_COMMENTS:
+            return "comments"
+        if "header" in parts and (in_article or parts - {"header", "site", "global", "top", "main"}):
+            continue
+        if parts & (_MARKS | _AMBIGUOUS) and parts <= _MARKS | _AMBIGUOUS | _NEUTRAL:
+            found = "other" if parts & _MARKS else found or "doubtful"
+    return found
+
+
 def _unwanted(name: str, attributes: str, inside: str, in_article: bool) -> str:
-    """Why an element holds no article text: "comments", "other" or ""."""
+    """Why an element holds no article text: "comments", "other", "doubtful" or ""."""
     if name in _DROPPED:
         return "other"
     if name == "header" and not in_article:
@@ -69,11 +95,9 @@ def _unwanted(name: str, attributes: str, inside: str, in_article: bool) -> str:
         found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
         if "hidden" in found or found.get("role", "").lower() in _ROLES or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
             return "other"
-        marks = set(_NAME_PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower()))
-        if marks & _COMMENTS:
-            return "comments"
-        if name not in ("article", "main") and (marks & _MARKS or "header" in marks) and not (in_article and marks & _OWN):
-            return "other"
+        mark = _mark(f"{found.get('class', '')} {found.get('id', '')}", in_article)
+        if mark == "comments" or mark and name not in ("article", "main"):
+            return mark if not inside or mark != "doubtful" else inside
     # an article inside an unclosed advert or menu is still the article
     return "" if name in ("article", "main") and inside == "other" else inside
 
@@ -100,9 +124,8 @@ def _tree(page: str) -> _Node:
         s = entities.unescape(s) if "&" in s else s
         stack[k].parts.append(s)
         n = len(s) - s.count(" ")
-        stack[k].chars += n
-        if linked:
-            stack[k].link_chars += n
+        chars, linked_chars = stack[k].own
+        stack[k].own = chars + n, linked_chars + n * linked
 
     while m := _TOKEN.search(page, at):
         text(page[at : m.start()])
@@ -145,10 +168,11 @@ def _tree(page: str) -> _Node:
         inline = name not in _BLOCKS and name not in _DROPPED
         top = stack[-1]
         skip = _unwanted(name, m[3] or m[6] or "", top.skip, articles > 0)
+        doubtful, skip = skip == "doubtful", "" if skip == "doubtful" else skip
         block = next(n for n in reversed(stack) if not n.inline)
         if inline:
             if name == "a":
-                block.link_tags += 1
+                block.links += 1
             if skip == top.skip and (name in _VOID or name != "a"):
                 if name not in _VOID:
                     stack.append(_Node(name, block, skip, True))
@@ -157,7 +181,7 @@ def _tree(page: str) -> _Node:
             if name == "hr" and not top.skip:
                 block.parts.append(_Node(name, block, skip, False))
             continue
-        node = _Node(name, block, skip, inline)
+        node = _Node(name, block, skip, inline, doubtful)
         if not inline:
             if name == "body":
                 while len(stack) > 1 and stack[-1].inline:
@@ -179,9 +203,12 @@ def _ordered(root: _Node) -> list[_Node]:
 
 
 def _measure(nodes: list[_Node]) -> None:
+    """Fills in counts, densities and sums from the nodes' own text."""
     own = {}
+    for n in nodes:
+        own[n] = n.chars, n.link_chars = n.own
+        n.tags, n.link_tags, n.kept = 0, n.links, False
     for n in reversed(nodes):
-        own[n] = (n.chars, n.link_chars)
         for x in n.parts:
             if not isinstance(x, str):
                 n.chars += x.chars
@@ -207,22 +234,52 @@ def _measure(nodes: list[_Node]) -> None:
         n.total = density(c, 1, lc, 1 if lc else 0) + sum(x.density for x in n.parts if not isinstance(x, str))
 
 
+def _densest(nodes: list[_Node]) -> _Node:
+    return max(nodes, key=lambda n: n.total)
+
+
+def _path(node: _Node) -> list[_Node]:
+    """The node and what it is in, up to the root."""
+    out = [node]
+    while out[-1].parent is not None:
+        out.append(out[-1].parent)
+    return out
+
+
+def _sure(nodes: list[_Node]) -> list[_Node]:
+    """The nodes without doubtful blocks, but for one that has the densest subtree and most of the plain text."""
+    plain, around = nodes[0].chars - nodes[0].link_chars, set(_path(_densest(nodes)))
+    gone: set[_Node] = set()
+    for n in nodes:
+        if n.parent in gone or n.doubtful and not (n in around and (n.chars - n.link_chars) * 2 > plain):
+            gone.add(n)
+    for n in nodes:
+        if n not in gone:
+            n.parts = [x for x in n.parts if isinstance(x, str) or x not in gone]
+    return [n for n in nodes if n not in gone]
+
+
+def _content(path: list[_Node]) -> tuple[_Node, float, bool]:
+    """(node with the content, threshold, whether it is an article) from the densest subtree's path to the body."""
+    threshold = min(n.density for n in path)
+    enough = math.sqrt(threshold * path[0].density)
+    best = ([n for n in path if n.name == "article"] or [n for n in path if n.density >= enough or n is path[0]])[-1]
+    return best, threshold, any(n.name in ("article", "main") for n in _path(best))
+
+
 def main_text(page: str | None) -> str:
     """The blocks of the page's main content, one per line."""
     if not page:
         return ""
     nodes = _ordered(_tree(page))
     _measure(nodes)
-    best = max(nodes, key=lambda n: n.total)
-    if not best.chars:
+    if any(n.doubtful for n in nodes):
+        nodes = _sure(nodes)
+        _measure(nodes)
+    path = _path(_densest(nodes))
+    if not path[0].chars:
         return ""
-    path = [best]
-    while path[-1].parent is not None:
-        path.append(path[-1].parent)
-    threshold = min(n.density for n in path)
-    wide = [n for n in path if n.name == "article"] or [n for n in path if n.name == "main"]
-    if wide:
-        best = wide[-1]
+    best, threshold, article = _content(path)
     lines: list[str] = []
     held: list[str] = []
 
@@ -232,7 +289,7 @@ def main_text(page: str | None) -> str:
             lines.append(line)
         held.clear()
 
-    todo: list = [best]
+    todo: list = [best, *reversed(_headings(path[path.index(best) :]))]
     while todo:
         x = todo.pop()
         if isinstance(x, str):
@@ -241,7 +298,7 @@ def main_text(page: str | None) -> str:
             flush()
         else:
             flush()
-            if not wide and x is not best and not x.kept and x.link_chars * 2 > x.chars and x.density < threshold:
+            if not article and x is not best and not x.kept and x.link_chars * 2 > x.chars and x.density < threshold:
                 continue
             todo.append(None)
             todo += reversed(x.parts)
@@ -249,6 +306,22 @@ def main_text(page: str | None) -> str:
     return "\n".join(lines)
 
 
+def _headings(path: list[_Node]) -> list[_Node]:
+    """Titles before the path's first node or one that it is in: any ``h1``, and headings with no block between."""
+    out: list[_Node] = []
+    for below, node in zip(path, path[1:], strict=False):
+        here, near = [], True
+        for x in reversed(node.parts[: node.parts.index(below)]):
+            if isinstance(x, str):
+                near &= not x.strip()
+            elif x.name == "h1" or near and x.name in _HEADINGS:
+                here.insert(0, x)
+            else:
+                near &= not x.chars
+        out = here + out
+    return out
+
+
 def _run(pages: pa.Array) -> pa.Array:
     return pa.array([main_text(x.as_py()) for x in pages], pa.string())
 

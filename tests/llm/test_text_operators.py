@@ -293,6 +293,145 @@ def test_links_of_an_article_stay(element):
     assert got == (wanted if element == "div" else wanted[:9] + ["One place Another place"] + wanted[9:])
 
 
+SAID = "Plain words of the article, which go on for a line or two so that the density of the body is high."
+
+
+@pytest.mark.parametrize("inside,text", [
+    (f"<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p><p>{SAID}</article>", f"Let x=1 be\n{SAID}"),
+    (f"<article><section><p>{SAID}<p>{SAID}<p>{SAID}</section><section><h2>Sources</h2><ul>{''.join(f'<li><a href=/{i}>Source {i}</a>' for i in range(9))}</ul></section></article>", "\n".join([SAID] * 3 + ["Sources", *(f"Source {i}" for i in range(9))])),
+    (f"<article><p>{SAID}</p><table><tr><td><a href=/a>one</a><td><a href=/b>two</a></table></article>", f"{SAID}\none\ntwo"),
+    (f'<article><p>{SAID}</p><section class="related-work"><h2>Related work</h2><p>{SAID}</section></article>', f"{SAID}\nRelated work\n{SAID}"),
+    (f'<div id="social-history"><p>{SAID}<p>{SAID}</div>', f"{SAID}\n{SAID}"),
+    (f'<article><p>{SAID}</p><section id="discussion"><p>It was discussed.</section><div class="notice">Down on Sunday</div><section id="post-comments"><p>{SAID}</section></article>', f"{SAID}\nIt was discussed."),
+    (f'<div class="notice"><p>{SAID}<p>{SAID}<p>Short.</div><div>Elsewhere</div>', f"{SAID}\n{SAID}\nShort."),
+    (f'<div class="site-header"><h1>Site</h1></div><div class="ad-slot-3">{SAID}</div><div class="newsletterSignup">{SAID}</div><div><h1>Title</h1><p>{SAID}<p>{SAID}</div>', f"Title\n{SAID}\n{SAID}"),
+])
+def test_marks_are_whole_names_and_content_stays(inside, text):
+    assert html_extract.main_text(PAGE.format(inside)) == text
+
+
+LINKS = "".join(f'<li><a href="/{i}">Some place {i}</a>' for i in range(12))
+#: Pages whose noise no element, role or class names.
+UNNAMED = [
+    (f"<div><div><ul>{LINKS}</ul></div><div><h1>T</h1><div>By me</div><div><p>{SAID}<p>{SAID}<p>{SAID}</div></div></div>", "\n".join(["T", "By me", *[SAID] * 3])),
+    (f"<h1>T</h1><div>Read this too: more</div><div><p>{SAID}<p>{SAID}<p>Short.</div><div>A teaser in plain words</div>", f"T\n{SAID}\n{SAID}\nShort."),
+    (f"<main><div>Read this too: more</div><h1>T</h1><div><p>{SAID}<p>{SAID}<p>Short.</div><div>A teaser</div></main>", f"T\n{SAID}\n{SAID}\nShort."),
+    (f"<article><p>A teaser of another one.</article><article><h1>T</h1><p>{SAID}<p>{SAID}<p>{SAID}</article><div>Elsewhere</div>", "\n".join(["T", *[SAID] * 3])),
+]
+
+
+@pytest.mark.parametrize("inside,text", UNNAMED)
+def test_density_decides(inside, text, monkeypatch):
+    page = f"<html><body>{inside}</body></html>"
+    assert html_extract.main_text(page) == text
+    monkeypatch.setattr(html_extract, "_densest", lambda nodes: nodes[0])
+    assert html_extract.main_text(page) != text
+
+
+def plain_density(page):
+    """(text, density of each element in document order, number of the densest subtree) of a well-formed page, by recursion."""
+    import xml.etree.ElementTree as ET
+
+    def count(e, linked=False):
+        """(characters, tags, characters in links, links) inside an element; only blocks are tags, and ``a`` is a link."""
+        linked |= e.tag == "a"
+        c = sum(len(t.replace(" ", "")) for t in (e.text or "",))
+        total = [c, 0, c if linked else 0, 0]
+        for x in e:
+            inner = count(x, linked)
+            tail = len((x.tail or "").replace(" ", ""))
+            total = [total[0] + inner[0] + tail, total[1] + inner[1] + (x.tag not in ("a", "b")), total[2] + inner[2] + (tail if linked else 0), total[3] + inner[3] + (x.tag == "a")]
+        return total
+
+    def density(c, t, lc, lt):
+        if not c:
+            return 0.0
+        t = max(t, 1)
+        return c / t * math.log(1 + max(1.0, c / max(lc, 1) * t / max(lt, 1))) / math.log(1 + math.log(c / max(c - lc, 1) * lc + ratio * c + math.e))
+
+    root = ET.fromstring(page)
+    whole = count(root)
+    ratio = whole[2] / max(1, whole[0])
+    blocks = [e for e in root.iter() if e.tag not in ("a", "b")]
+
+    def own(e):
+        """Text of a block outside of its inner blocks, and of that in links."""
+        c = lc = 0
+        parts = [(e.text or "", False)]
+        for x in e:
+            if x.tag in ("a", "b"):
+                parts.append(("".join(x.itertext()), x.tag == "a"))
+            parts.append((x.tail or "", False))
+        for t, linked in parts:
+            c += len(t.replace(" ", ""))
+            lc += len(t.replace(" ", "")) * linked
+        return c, lc
+
+    densities = [density(*count(e)) for e in blocks]
+    of = dict(zip(blocks, densities, strict=True))
+    totals = []
+    for e in blocks:
+        c, lc = own(e)
+        totals.append(density(c, 1, lc, 1 if lc else 0) + sum(of[x] for x in e if x in of))
+    best = max(range(len(blocks)), key=lambda k: totals[k])
+    above = {x: e for e in blocks for x in e}
+    path = [blocks[best]]
+    while path[-1] in above:
+        path.append(above[path[-1]])
+    least = min(of[e] for e in path)
+    node = [e for e in path if of[e] >= math.sqrt(least * of[path[0]]) or e is path[0]][-1]
+    lines, line = [], []
+
+    def flush():
+        if "".join(line).split():
+            lines.append(" ".join("".join(line).split()))
+        line.clear()
+
+    def kept(e):
+        return any(x.tag in ("p", "li", "ul", "h2") and count(x)[0] for x in e.iter())
+
+    def walk(e, top):
+        if e.tag not in ("a", "b"):
+            flush()
+            c, _, lc, _ = count(e)
+            if not top and not kept(e) and lc * 2 > c and of[e] < least:
+                return
+        line.append(e.text or "")
+        for x in e:
+            walk(x, False)
+            line.append(x.tail or "")
+        if e.tag not in ("a", "b"):
+            flush()
+
+    walk(node, True)
+    return "\n".join(lines), densities, best
+
+
+def test_densities_equal_brute_force():
+    rng = random.Random(3)
+
+    def block(depth):
+        text = " ".join(rng.choices(["some", "words", "x", "of", "lengths"], k=rng.choice((0, 1, 4, 40))))
+        if rng.random() < 0.4:
+            text += f"<a>{' '.join(rng.choices(['to', 'there'], k=rng.choice((1, 5, 20))))}</a> <b>bold</b>"
+        inner = "".join(block(depth - 1) for _ in range(rng.randint(0, 4))) if depth else ""
+        name = rng.choice(("div", "section", "div", "ul")) if inner else rng.choice(("p", "div", "section"))
+        return f"<{name}>{text}{inner}</{name}>"
+
+    differ = 0
+    for _ in range(400):
+        page = f"<html><body>{''.join(block(3) for _ in range(rng.randint(1, 4)))}</body></html>"
+        text, densities, best = plain_density(page)
+        nodes = html_extract._ordered(html_extract._tree(page))
+        html_extract._measure(nodes)
+        assert [n.density for n in nodes] == pytest.approx(densities)
+        if nodes[best].chars:
+            assert nodes.index(html_extract._densest(nodes)) == best
+            assert html_extract.main_text(page) == text
+            differ += text != "\n".join(html_extract.main_text(f"<article>{page}</article>").split("\n"))
+    assert differ > 100
+
+
 @pytest.mark.parametrize("page,text", [(None, ""), ("", ""), ("<p>", ""), ("just text", "just text"), ("<article></article>", ""), ("a<b", "a"), ("<div class=ad>buy <article><p>real text</article>", "real text"), ("&lt;p&gt; &am", "<p> &am"), ("<td>x</td></p></div>", "x"), ("<!-- open", "")])
 def test_broken_pages(page, text):
     assert html_extract.main_text(page) == text
