@@ -53,10 +53,32 @@ def test_a_hot_group_of_copies_is_divided(make):
     assert len(size) == 40 and max(abs(v - mean) for v in size.values()) < 0.03 * mean + 200
 
 
-def test_repeated_rows_stay_together(make):
-    rows = [(1, "same")] * 300 + [(i, f"t{i}") for i in range(2, 100)]
-    got, _ = check_shards(make(rows), rows)
-    assert len({r.shard for r in got if r.doc_id == 1}) == 1
+@pytest.mark.parametrize("hot", [(1, "same text of all these rows"), (None, None), (3, ""), (None, "text without id")])
+def test_equal_rows_are_divided(make, hot):
+    rows = [hot] * 2000 + [(10 + i, f"words {i:04d}") for i in range(2000)] + [(9, "twice the same")] * 2
+    got, size = check_shards(make(rows, clash=True).repartition(7), rows)
+    mean = sum(size.values()) / 40
+    assert len(size) == 40 and max(size.values()) <= 1.05 * mean
+    assert {r.at for r in got} == {"x"}
+
+
+def test_two_hot_rows_in_many_parts(make):
+    rows = [(1, "a" * 40)] * 900 + [(2, "b" * 30)] * 700 + [(3, "long " * 200), (None, None)] + [(i, f"t{i}") for i in range(4, 60)]
+    got, size = check_shards(make(rows).repartition(5), rows, 8)
+    mean = sum(size.values()) / 8
+    assert len(size) == 8 and max(abs(n - mean) for n in size.values()) <= 0.01 * mean + 1016
+
+
+@pytest.mark.parametrize("histogram", [8, 256])
+def test_splitters_do_not_depend_on_the_histogram(make, sample, monkeypatch, histogram):
+    def place():
+        return {r.doc_id: (r.shard, r.slot) for r in sharding.shard_documents(sample, tolerance=0.0).collect()}
+
+    wanted, collected, count = place(), [], sharding._counts
+    monkeypatch.setattr(sharding, "HISTOGRAM", histogram)
+    monkeypatch.setattr(sharding, "_counts", lambda keyed, opened, *a: collected.append((len(opened), sum(map(len, (out := count(keyed, opened, *a)).values())))) or out)
+    assert place() == wanted
+    assert all(n <= max(histogram, 2 * k) for k, n in collected)
 
 
 # packing
