@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from graphvec.llm import decontaminate, html_extract, language_id, lm_score, quality_classifier, quality_rules
 from graphvec.llm import queries as llm
@@ -62,9 +63,45 @@ def test_cascade_order_changes_no_verdict(make, sample):
 
 
 def test_estimates_rank_by_rejection_per_cost(sample):
-    found = quality_rules.estimate(sample, quality_rules.default_rules())
+    rules = quality_rules.default_rules()
+    found = quality_rules.estimate(sample, rules, sample_rows=10**9)
     gains = [share / seconds for _, share, seconds in found]
-    assert gains == sorted(gains, reverse=True) and len(found) == len(quality_rules.default_rules())
+    assert gains == sorted(gains, reverse=True) and len(found) == len(rules)
+    # of all rows the shares are exact; more work costs more, jobs cost nothing
+    texts = [r.text or "" for r in sample.collect()]
+    by = {r.name: (share, seconds) for r, share, seconds in found}
+    assert by["too_short"][0] == pytest.approx(sum(len(words(t)) < 50 for t in texts) / len(texts))
+    assert by["repeated_windows"][0] == pytest.approx(sum(100 * rule_counts(t)[4] > 50 * rule_counts(t)[0] for t in texts) / len(texts))
+    assert by["repeated_windows"][1] > 2 * by["too_short"][1] > 0 and by["repeated_windows"][1] < 0.05
+    same = [quality_rules.Rule(n, rules[0].rejects) for n in "abc"]
+    assert [r.name for r, _, _ in quality_rules.estimate(sample.limit(0), same)] == list("abc")
+
+
+def test_later_rules_are_not_evaluated_on_rejected_rows(spark, make):
+    import uuid
+
+    run = uuid.uuid4().hex
+    rows = [(i, "bad" if i % 3 else "good") for i in range(60)]
+    looks = quality_rules.Rule("looks", F.expr(f"reflect('java.lang.System', 'setProperty', concat('{run}-', doc_id), 'x') = 'never'"))
+    kept = quality_rules.in_cascade(make(rows), [quality_rules.Rule("bad", F.col("text") == "bad"), looks]).collect()
+    seen = [i for i, _ in rows if spark._jvm.java.lang.System.getProperty(f"{run}-{i}") is not None]
+    assert seen == [i for i, t in rows if t == "good"]
+    assert {(r.doc_id, r.failed_rule, r.kept) for r in kept} == {(i, "bad" if t == "bad" else None, t == "good") for i, t in rows}
+
+
+@pytest.mark.parametrize("hot", [7, None])
+def test_an_id_of_most_rows_does_not_fill_the_sample(make, hot):
+    docs = make([(hot, f"text {i}") for i in range(3000)] + [(100 + i, "other") for i in range(100)])
+    share = {r.name: k for r, k, _ in quality_rules.estimate(docs, [quality_rules.Rule("other", F.col("text") == "other"), quality_rules.Rule("any", F.lit(True))], sample_rows=300)}
+    assert share["any"] == 1 and share["other"] < 0.2
+    seen = docs.sample(300 / 3100, seed=42).count()
+    assert 200 < seen < 400
+
+
+def test_rules_on_clashing_columns(make):
+    docs = make(ODD).withColumns({c: F.lit("x") for c in ("failed_rule", "kept", "_words", "n_words", "t0", "a", "r", "w", "base_failed")})
+    got = quality_rules.with_statistics(quality_rules.cascade(docs)).collect()
+    assert len(got) == len(ODD) and all(r.kept is False and r.failed_rule != "x" and r.n_words == rule_counts(r.text)[0] and r._words == "x" for r in got)
 
 
 def test_rules_equal_sql(spark, sf_dir):
