@@ -1,5 +1,6 @@
 """Operators that look at one text at a time: rules, language model, language, quality, decontamination, extraction."""
 
+import itertools
 import math
 import random
 import re
@@ -115,38 +116,99 @@ def test_rules_equal_sql(spark, sf_dir):
 # language model
 
 
-def model(rows, mass):
-    uni, pairs, begins = Counter(), Counter(), 0
+def model(rows, mass, order):
+    """(score of a text, probability of a token after a context) by plain recursion."""
+    counts, begins = Counter(), 0
     for i, t in rows:
         if i is None or zlib.crc32(str(i).encode()) % 10:
-            w = [*words(lower(t)), None]
-            uni.update(w)
-            pairs.update(zip(["^", *w[:-1]], w, strict=True))
+            w = [0, *words(lower(t)), None]
+            counts.update(tuple(w[k : k + n]) for n in range(1, order + 1) for k in range(len(w) - n + 1) if (k, n) != (0, 1))
             begins += 1
-    total, distinct = sum(uni.values()), len(uni)
+    total, distinct = sum(c for g, c in counts.items() if len(g) == 1), sum(len(g) == 1 for g in counts)
 
-    def p(w):
-        return (uni[w] + 0.1) / (total + 0.1 * (distinct + 1))
+    def p(w, context):
+        if not context:
+            return (counts[w,] + 0.1) / (total + 0.1 * (distinct + 1))
+        seen = begins if context == (0,) else counts[context]
+        m = mass[min(len(context), len(mass)) - 1]
+        return (counts[(*context, w)] + m * p(w, context[1:])) / (seen + m)
 
     def score(t):
-        w = [*words(lower(t)), None]
-        steps = zip(["^", *w[:-1]], w, strict=True)
-        walk = sum(math.log10((pairs[v, x] + mass * p(x)) / ((begins if k == 0 else uni[v]) + mass)) for k, (v, x) in enumerate(steps))
-        return len(w), sum(uni[x] > 0 for x in w), total, sum(math.log10(p(x)) for x in w), walk
+        w = [0, *words(lower(t)), None]
+        walk = sum(math.log10(p(x, tuple(w[max(0, k - order + 1) : k]))) for k, x in enumerate(w) if k)
+        return len(w) - 1, sum(counts[x,] > 0 for x in w[1:]), total, sum(math.log10(p(x, ())) for x in w[1:]), walk
+
+    return score, p, {g[0] for g in counts if len(g) == 1}
+
+
+@pytest.mark.parametrize("block,bucket,order,segment", [(100, 50_000, 3, 2048), (32 << 20, 50_000, 3, 7), (3000, 20_000, 4, 5), (32 << 20, 12 << 20, 2, 2048), (2000, 3000, 3, 100)])
+def test_language_model(make, monkeypatch, block, bucket, order, segment):
+    monkeypatch.setattr(lm_score, "BUCKET_BYTES", bucket)
+    monkeypatch.setattr(lm_score, "ORDER", order)
+    monkeypatch.setattr(lm_score, "SEGMENT", segment)
+    if bucket == 3000:  # several slices
+        monkeypatch.setattr(lm_score, "BUCKETS", 20)
+        monkeypatch.setattr(lm_score, "RANGES", 3)
+    rows = [*ODD, *((100 + i, f"The cat {i % 3} sat on THE mat {i} ^ end") for i in range(30)), (200, "the cat 1 sat on the mat"), (201, "x y z x y w x y z")]
+    score, _, _ = model(rows, (7.0, 2.0), order)
+    got = lm_score.score_documents(make(rows, clash=True), mass=(7.0, 2.0), block_bytes=block).collect()
+    assert len(got) == len(rows)
+    by = sorted((r.doc_id or -1, r.n_tokens, r.n_known, r.train_tokens, r.held_out, r.base_score, r.score) for r in got)
+    wanted = sorted((i or -1, *(s := score(t))[:3], i is not None and zlib.crc32(str(i).encode()) % 10 == 0, *s[3:]) for i, t in rows)
+    for a, b in zip(by, wanted, strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
 
-    return score
 
+def automaton(rows, texts, mass=(5.0, 3.0)):
+    """The operator's automaton for some texts, with counts of ``rows``."""
+    import numpy as np
 
-@pytest.mark.parametrize("block", [100, 32 << 20])
-def test_language_model(make, monkeypatch, block):
-    monkeypatch.setattr(lm_score, "BUCKET_BYTES", 50_000)
-    rows = [*ODD, *((100 + i, f"The cat {i % 3} sat on THE mat {i} ^ end") for i in range(30))]
-    score = model(rows, 7.0)
-    got = lm_score.score_documents(make(rows, clash=True), mass=7.0, block_bytes=block).collect()
-    assert len(got) == len(rows)
-    by = Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4), r.held_out) for r in got)
-    wanted = Counter((i, *(round(x, 4) for x in score(t)), i is not None and zlib.crc32(str(i).encode()) % 10 == 0) for i, t in rows)
-    assert by == wanted
+    counts, begins = Counter(), 0
+    vocabulary = sorted({w for t in texts for w in t} | {None}, key=str)
+    hashes = np.sort(np.array([int(lm_score._END) if w is None else lm_score.xxhash.xxh3_64_intdigest(w.encode()) for w in vocabulary], np.uint64))
+    code = {w: int(np.searchsorted(hashes, np.uint64(int(lm_score._END) if w is None else lm_score.xxhash.xxh3_64_intdigest(w.encode())))) for w in vocabulary}
+    for r in rows:
+        w = ["^", *r, None]
+        counts.update(tuple(w[k : k + n]) for n in (1, 2, 3) for k in range(len(w) - n + 1) if (k, n) != (0, 1))
+        begins += 1
+    lengths = np.array([len(t) + 1 for t in texts])
+    codes = np.array([code[w] for t in texts for w in [*t, None]])
+    flat = [[("^", *t, None)[max(0, k + 2 - n) : k + 2] for k in range(len(t) + 1)] for n in (1, 2, 3) for t in texts]
+    found = [np.array([counts[w,] for w in sorted(code, key=code.get)], float)]
+    for n, (positions, grams) in enumerate(lm_score._grams(lengths, codes, hashes), 2):
+        own = [g for k in range(len(texts)) for g in flat[(n - 1) * len(texts) + k]]
+        _, first = np.unique(grams, return_index=True)
+        found.append(np.array([counts[tuple(own[i])] for i in positions[first]], float))
+    n, v = sum(c for g, c in counts.items() if len(g) == 1), sum(len(g) == 1 for g in counts)
+    return lm_score.Automaton(lengths, codes, hashes, found, n, v, begins, mass), code
+
+
+def test_arcs_of_every_state_sum_to_one():
+    import numpy as np
+
+    rows = [r.split() for r in ("a b a c", "a a b", "c", "a b b c a")]
+    seen = sorted({w for r in rows for w in r} | {"zzz"})
+    # all texts of up to three words, so that the block holds the whole automaton
+    machine, code = automaton(rows, [list(t) for n in range(4) for t in itertools.product(seen, repeat=n)])
+    tokens = np.array([code[w] for w in [*seen, None]])
+    assert len(machine.back) > 10
+    for state in range(len(machine.back)):
+        _, weight = machine.step(np.full(len(tokens), state), tokens)
+        assert (10**weight).sum() == pytest.approx(1)
+    # the walk carries the state: after "a b" it is that context's, after an unseen pair that of the last word, after an unseen word the root
+    state = np.array([1])
+    path = [int((state := machine.step(state, np.array([code[w]]))[0])[0]) for w in ("a", "b", "zzz", "c", "c")]
+    assert machine.back_to[path[1]] == machine.to[code["b"]] > 0 and path[2] == 0 and path[3] == path[4] == machine.to[code["c"]]
+
+
+def test_copies_are_told_apart(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) > 300").dropDuplicates(["text"])
+    copy = docs.filter("doc_id % 5 = 0").withColumn("doc_id", F.col("doc_id") + 10_000_000)
+    got = lm_score.score_documents(docs.unionByName(copy)).collect()
+    twice = {r.doc_id - 10_000_000 for r in got if r.doc_id >= 10_000_000 and not r.held_out}
+    alone = [r.score / r.n_tokens for r in got if r.held_out and r.doc_id % 5]
+    again = [r.score / r.n_tokens for r in got if r.held_out and r.doc_id in twice]
+    assert len(again) > 5 and min(again) > sorted(alone)[int(len(alone) * 0.95)]
 
 
 def test_language_model_without_training_texts(make):
@@ -156,17 +218,6 @@ def test_language_model_without_training_texts(make):
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0)
 
 
-def test_probabilities_sum_to_one():
-    rows = [(1, "a b a c"), (2, "a a b"), (4, "c")]
-    rows = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 10]
-    score = model(rows, 5.0)
-    # one-word continuations of "a": a, b, c, anything unknown and the end
-    base = score("a")[4] - score("")[4]
-    assert base != 0
-    root = [10 ** (score(w)[3] - score("")[3]) for w in ("a", "b", "c", "zzz")] + [10 ** score("")[3]]
-    assert abs(sum(root) - 1) < 1e-9
-
-
 # language and quality
 
 
