@@ -46,7 +46,7 @@ ORDER = 3
 UNSEEN, MASS = 0.1, (100.0, 2.0)
 #: Tokens that one lane of the walk reads at most.
 SEGMENT = 2048
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Text bytes for each bucket of n-grams.
 BUCKET_BYTES = 12 << 20
 #: Most buckets, and ranges that a bucket's partial sums are divided in.
@@ -268,8 +268,10 @@ class Automaton:
             back.append(np.log10(mass / (c[context] + mass)))
             back_to.append(at_state[p][context])
             used += int(context.sum())
-            at_state, at_count, at_p = (np.zeros(len(codes), x.dtype) for x in (at_state, at_count, at_p))
-            at_state[positions], at_count[positions], at_p[positions] = own[inverse], c[inverse], probability[inverse]
+            if k < ORDER:
+                at_state, at_count, at_p = (np.zeros(len(codes), x.dtype) for x in (at_state, at_count, at_p))
+                at_state[positions], at_count[positions], at_p[positions] = own[inverse], c[inverse], probability[inverse]
+            del positions, hashes, first, inverse
         keys = np.concatenate(keys)
         order = np.argsort(keys, kind="stable")
         self.keys, self.weights, self.goals = np.append(keys[order], np.iinfo(np.int64).max), np.concatenate(weights)[order], np.concatenate(goals)[order]
