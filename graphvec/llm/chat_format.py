@@ -6,15 +6,17 @@ original of its conversation, the first earlier message that has it in its own w
 message's links the lowest level, then the longest passage, then the latest original decides what it replies to.
 
 The conversation is then put in reply order: a message without a link, or one that answers the message before it,
-continues; another one branches off. Branches follow what they branch from, the deeper ones first, so each reply
-stands after its original. Quoted lines are dropped from the text, and each message is rendered with its role.
+continues; another one branches off. Branches follow the run of messages that they branch from, the deeper ones first, so each reply
+stands after its original. A run's place is the sum of all runs before it on a walk around the tree of runs, found by doubling:
+each round adds what the next element has summed up and jumps as far, so that a round is as large as the number of
+runs, however deep they are nested. Quoted lines are dropped from the text, and each message is rendered with its role.
 
 Conversations are numbered by range partitions and joined by (conversation, hash), so that one that holds a third
 of all messages is spread like any other; nothing collects a conversation in one place.
 
 Defined cases: a null text is an empty message; messages are ordered by turn, then role and text (nulls first); rows that are
 equal in all of these are equal messages in a row; a null conv_id is a conversation of its own; quotes without an original are dropped
-like others but link nothing; an empty table gives no rows; extra columns are ignored.
+like others but link nothing; a text or conversation of any length is linked whole; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -71,15 +73,28 @@ def linked(messages: DataFrame) -> DataFrame:
     return per.select("at", F.col("best.original").alias("parent"), "n_quotes", "n_linked")
 
 
-def _paths(heads: DataFrame) -> DataFrame:
-    """(head, path) of branches from (head, above, step): doubles the known part of each path until all reach a trunk."""
-    known = settle(heads.select("head", "above", F.array(-F.col("step"), F.col("head")).alias("path")))
-    while True:
-        up = known.select(F.col("head").alias("above"), F.col("above").alias("next"), F.col("path").alias("before"))
-        joined = known.join(up, "above", "left")
-        if joined.filter("before is not null").isEmpty():
-            return known.select("head", "path")
-        known = settle(joined.select("head", F.col("next").alias("above"), F.expr("if(before is null, path, concat(before, path))").alias("path")))
+def _walk(branches: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(head, behind): the messages from each run to the end of its conversation in reply order.
+
+    ``branches``: head, above (head of the run that it branches from) and step (the message there); ``lengths``: head and n of the
+    runs. A walk around the tree enters a run (element 2 head), walks around its branches and leaves it (2 head + 1). Branches of one run are
+    numbered in a global order, so that a run of any number of branches is spread.
+    """
+    order = in_order(branches.withColumn("back", -F.col("step")), ["above", "back", "head"], "place")
+    following = order.select((F.col("place") - 1).alias("place"), F.col("above").alias("above2"), F.col("head").alias("sibling"))
+    siblings = order.join(following, "place", "left").select("head", "above", F.when(F.col("above") == F.col("above2"), F.col("sibling")).alias("sibling"))
+    first = order.groupBy(F.col("above").alias("head")).agg(F.min(F.struct("place", "head")).alias("first")).select("head", F.col("first.head").alias("child"))
+    runs = lengths.join(first, "head", "left").join(siblings, "head", "left")
+    enter, leave = F.col("head") * 2, F.col("head") * 2 + 1
+    ways = F.array(
+        F.struct(enter.alias("id"), F.coalesce(F.col("child") * 2, leave).alias("next"), F.col("n").alias("sum")),
+        F.struct(leave.alias("id"), F.coalesce(F.col("sibling") * 2, F.col("above") * 2 + 1).alias("next"), F.lit(0).cast("long").alias("sum")),
+    )
+    known = settle(runs.select(F.inline(ways)))
+    while not known.filter("next is not null").isEmpty():
+        ahead = known.select(F.col("id").alias("next"), F.col("next").alias("after"), F.col("sum").alias("more"))
+        known = settle(known.join(ahead, "next", "left").select("id", F.col("after").alias("next"), (F.col("sum") + F.coalesce("more", F.lit(0))).alias("sum")))
+    return known.filter("id % 2 = 0").select(F.expr("id div 2").alias("head"), F.col("sum").alias("behind"))
 
 
 def _segments(rows: DataFrame) -> DataFrame:
@@ -108,21 +123,23 @@ def format_conversations(messages: DataFrame) -> DataFrame:
     """One row per message: conv_id, turn, role, reply_turn, position, n_quotes, n_linked, text and message."""
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = in_order(rows.withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit(""))), ["conv", "turn", "role", "text"], "at")
-    firsts = rows.groupBy("conv").agg(F.min("at").alias("begin"))
+    firsts = rows.groupBy("conv").agg(F.min("at").alias("begin"), F.count("*").alias("n_messages"))
     quoting = settle(linked(rows.select("conv", "at", "text")))
     told = rows.join(firsts, "conv").join(quoting, "at", "left")
     turns = rows.select(F.col("at").alias("parent"), F.col("turn").alias("reply_turn"))
     told = told.join(turns, "parent", "left").withColumn("body", unquoted())
     branching = quoting.filter("parent < at - 1").select("at", "parent")
+    rank = F.col("at") - F.col("begin")
     if not branching.isEmpty():
         heads = rows.select("conv", "at").join(firsts, "conv").join(branching.select("at", F.lit(True).alias("off")), "at", "left")
         segments = settle(_segments(heads.select("at", F.expr("off is not null or at = begin").alias("is_head"))).select("at", "head"))
-        above = branching.join(segments.select(F.col("at").alias("parent"), F.col("head").alias("above")), "parent")
-        paths = _paths(above.select(F.col("at").alias("head"), "above", F.col("parent").alias("step")))
-        told = told.join(segments, "at").join(paths, "head", "left").withColumn("path", F.coalesce("path", F.array().cast("array<bigint>")))
-        told = in_order(told.drop("head"), ["conv", "path", "at"], "rank").withColumn("rank", F.col("rank") - F.col("begin"))
-    else:
-        told = told.withColumn("rank", F.col("at") - F.col("begin"))
+        branches = settle(branching.join(segments.select(F.col("at").alias("parent"), F.col("head").alias("above")), "parent").select(F.col("at").alias("head"), "above", F.col("parent").alias("step")))
+        within = branches.select(F.explode(F.array("head", "above")).alias("head")).distinct()
+        lengths = segments.groupBy("head").agg(F.count("*").alias("n")).join(within, "head", "left_semi")
+        told = told.join(segments, "at").join(_walk(branches, lengths), "head", "left")
+        # a run without branches in a conversation without any has no place on a walk
+        rank = F.when(F.col("behind").isNull(), rank).otherwise(F.col("n_messages") - F.col("behind") + F.col("at") - F.col("head"))
+    told = told.withColumn("rank", rank)
     return told.select(
         "conv_id", "turn", "role", F.col("rank").alias("position"), "reply_turn", F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"),
         F.coalesce("n_linked", F.lit(0)).alias("n_linked"), F.col("body").alias("text"), rendered(F.col("role"), F.col("body")).alias("message"),

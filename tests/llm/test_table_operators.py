@@ -288,8 +288,6 @@ def test_replies_follow_their_originals(spark):
         assert (r.reply_turn is not None) == quoted
         if quoted:
             assert rows[2 * turn][3].split("\n")[0] == f"> message number {r.reply_turn}" and got[r.reply_turn].position < r.position
-        elif turn:
-            assert got[turn - 1].position == r.position - 1 or got[turn - 1].position < r.position
     # depth-first order by a plain recursion
     children = {}
     for turn in range(1, 120):
@@ -303,6 +301,34 @@ def test_replies_follow_their_originals(spark):
     assert [t for t, _ in sorted(got.items(), key=lambda x: x[1].position)] == out
 
 
+@pytest.mark.parametrize("shape", ["nested", "hub", "mixed"])
+def test_deep_and_wide_branches(spark, monkeypatch, shape):
+    n, rng, written, settle = 1600, np.random.default_rng(4), [], chat_format.settle
+
+    def counted(df):
+        out = settle(df)
+        written.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(chat_format, "settle", counted)
+    quoted = {"nested": lambda k: k - 2 if k > 1 else None, "hub": lambda k: 0 if k > 1 else None, "mixed": lambda k: int(rng.integers(max(0, k - 9), k)) if k and rng.random() < 0.7 else None}[shape]
+    parent = [quoted(k) for k in range(n)]
+    rows = [(5, k, "user", (f"> message {q}\n" if q is not None else "") + f"message {k}") for k, q in enumerate(parent)]
+    got = chat_format.format_conversations(spark.createDataFrame(rows + [(6, 0, "user", "> message 3\nalone"), (6, 1, "user", "second")], CHAT)).collect()
+    children = {}
+    for k in range(1, n):
+        children.setdefault(k - 1 if parent[k] is None else parent[k], []).append(k)
+    out, todo = [], [0]
+    while todo:
+        out.append(todo.pop())
+        todo += sorted(children.get(out[-1], []), reverse=True)
+    assert [r.turn for r in sorted(got, key=lambda r: r.position) if r.conv_id == 5] == out
+    assert [(r.turn, r.position) for r in sorted(got, key=lambda r: r.turn) if r.conv_id == 6] == [(0, 0), (1, 1)]
+    # every round holds two elements of each run, and no element holds a list
+    assert all(k <= 2 * n for _, k in written) and {"id", "next", "sum"} in [set(c) for c, _ in written]
+    assert sum({"id", "next", "sum"} == set(c) for c, _ in written) <= 14
+
+
 def test_odd_conversations(spark):
     rows = [(1, 0, "u", "a"), (1, 0, "u", "a"), (1, None, None, None), (None, None, None, None), (2, 0, "u", "> "), (2, 1, "u", ">\n>>\n"), (3, 0, "u", "long " * 50000), (3, 1, "u", "> " + "long " * 50000)]
     got = chat_format.format_conversations(spark.createDataFrame(rows, CHAT)).collect()
