@@ -15,25 +15,27 @@ share a table entry with a window are verified exactly by semi-global edit dista
 Items of fewer than LEAST_WORDS words, which EDITS allows no edits, are looked up exactly: their words in a row, or, if they
 have characters of a script without blanks, their characters anywhere in the text without its blanks.
 
-Items come in blocks of at most BLOCK_ITEMS items and BLOCK_BYTES bytes, so that a broadcast block is bounded whatever the benchmark's size.
+Items come in blocks of at most BLOCK_ITEMS items and BLOCK_BYTES bytes. Blocks are searched for one after another, each in a pass of its own whose
+result is written before the next, so that a worker holds one block whatever the benchmark's size.
 
 Defined cases: null and empty texts contain no item; items without a word are not searched;
-equal items are reported each; documents of any length are searched whole; of several places the one with the fewest edits, then the
+equal items are reported each, as are items in each of repeated documents; documents of any length are searched whole; of several places the one with the fewest edits, then the
 first, is reported; empty tables give no matches; other columns travel along, a column named ``matches`` is replaced.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import coded, slices, unused, words
+from .common import coded, settle, slices, unused, words
 
 EDITS = 0.2
 LEAST_WORDS = 5
@@ -331,22 +333,38 @@ def _finder(block):
     return F.arrow_udf(run, _MATCH)
 
 
+def _passes(docs: DataFrame, benchmark: DataFrame, search: Callable[[DataFrame, Column], DataFrame], carry: bool) -> list[DataFrame]:
+    """What ``search`` makes of the documents and the matches of each block of items; carry: it goes on with the result of the block before."""
+    sc, out, blocks = docs.sparkSession.sparkContext, [], _blocks(benchmark)
+    block = next(blocks, None)
+    while block:
+        held = sc.broadcast(block)
+        found = search(docs, _finder(held)(F.col("text").cast("string")))
+        block = next(blocks, None)
+        if block:
+            found = settle(found)
+            held.unpersist()
+        docs = found if carry else docs
+        out.append(found)
+    return out
+
+
 def with_matches(docs: DataFrame, benchmark: DataFrame, name: str = "matches") -> DataFrame:
     """The rows with a column of each item that a text contains, with edits, first word and number of words."""
-    sc = docs.sparkSession.sparkContext
-    text = F.col("text").cast("string")
-    found = [_finder(sc.broadcast(block))(text) for block in _blocks(benchmark)]
-    matches = F.concat(*found) if found else F.array().cast(_MATCH)
-    return docs.drop(name).withColumn(name, matches)
+    docs = docs.withColumn(name, F.array().cast(_MATCH))
+    return [docs, *_passes(docs, benchmark, lambda rows, found: rows.withColumn(name, F.concat(F.col(name), found)), True)][-1]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and item it contains: doc_id, item_id, edits, first_word, n_words."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return with_matches(rows, benchmark).select("doc_id", F.inline("matches"))
+    found = _passes(rows, benchmark, lambda rows, found: rows.withColumn("matches", found).select("doc_id", F.inline("matches")), False)
+    if not found:
+        return rows.select("doc_id", F.inline(F.array().cast(_MATCH)))
+    return reduce(DataFrame.unionByName, found)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that contain no item, with their own columns."""
+    """The documents that contain no item, with their own columns. What one block of items has found isn't searched for the next."""
     free = unused(docs, "_matches")
-    return with_matches(docs, benchmark, free).filter(F.size(free) == 0).drop(free)
+    return [docs, *_passes(docs, benchmark, lambda rows, found: rows.withColumn(free, found).filter(F.size(free) == 0).drop(free), True)][-1]

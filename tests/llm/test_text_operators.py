@@ -340,6 +340,25 @@ def test_contaminated_documents(spark, make):
     assert decontaminate.clean(make(rows), benchmark.limit(0)).count() == len(rows)
 
 
+def test_blocks_of_items_are_searched_one_after_another(spark, make, monkeypatch):
+    items = [f"item {i} has these words of its own number {i * 7} and ends here {i}" for i in range(9)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    rows = [*ODD, *((100 + i, f"before {items[i]} between {items[(i * 2) % 9]} after") for i in range(9)), (100, items[0])]
+    alone = decontaminate.contaminated(make(rows), benchmark)
+    wanted = sorted((r.doc_id, r.item_id, r.edits, r.first_word, r.n_words) for r in alone.collect())
+    whole = sorted((r.doc_id or 0, sorted(m.item_id for m in r.matches)) for r in decontaminate.with_matches(make(rows), benchmark).collect())
+    left = sorted(r.doc_id or 0 for r in decontaminate.clean(make(rows), benchmark).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 2)
+    found = decontaminate.contaminated(make(rows), benchmark)
+    assert sorted((r.doc_id, r.item_id, r.edits, r.first_word, r.n_words) for r in found.collect()) == wanted and len(wanted) > 15
+    # a plan searches for one block: what the others found is read from where it was written
+    searches = [x._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") for x in (alone, found)]
+    assert searches[0] == searches[1] > 0
+    assert sorted((r.doc_id or 0, sorted(m.item_id for m in r.matches)) for r in decontaminate.with_matches(make(rows, clash=True), benchmark).collect()) == whole
+    cleaned = decontaminate.clean(make(rows, clash=True), benchmark)
+    assert sorted(r.doc_id or 0 for r in cleaned.collect()) == left and set(CLASHES) <= set(cleaned.columns)
+
+
 def test_items_of_few_words_are_found_exactly(spark, make):
     benchmark = spark.createDataFrame([(1, "What is it?"), (2, "Paris"), (3, "今天天气怎么样？"), (4, "what is IT"), (5, "one two three four"), (6, "…"), (7, "水")], "item_id bigint, text string")
     rows = [(1, "So: what\nis it? Well, what is it."), (2, "what is not it, parisian"), (3, "(PARIS)"), (4, "他问今天 天气怎么样？我说好"), (5, "two three four one"), (6, "zero one two three four five"), (7, "What is"), (8, "it? Paris"), (9, None), (10, "喝水吧 水")]
