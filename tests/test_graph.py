@@ -311,3 +311,32 @@ def test_streaming_ingest(spark, tmp_path):
     query = ingest_nodes(store, stream, f"{tmp_path}/check", lambda b: b.withColumn("props", F.create_map().cast(BAG))).trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert store.refresh().nodes().count() == 2
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """A driver elsewhere on the path, with workers that can't import the package."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    import graphvec
+
+    shutil.copytree(Path(graphvec.__file__).parent, tmp_path / "only_driver" / "graphvec", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = f"""
+import sys
+sys.path.insert(0, {str(tmp_path / "only_driver")!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+from graphvec import NODE_KEYS, typed_view
+from graphvec.operators.knn import batch_nearest
+view = typed_view("V", spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id bigint, v array<float>"), NODE_KEYS)
+try:
+    spark.range(1).mapInArrow(lambda x: [__import__("graphvec")] and x, "id bigint").collect()
+    raise SystemExit("workers have the package")
+except Exception:
+    pass
+print("nearest", [r.id for r in batch_nearest(view, "v", [(7, [1.0, 0.1])], 1).collect()])
+"""
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "nearest [1]" in run.stdout, run.stdout + run.stderr[-2000:]
