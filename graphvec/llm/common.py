@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +14,6 @@ from ..sources.scratch import in_order, scratch_dir, settle
 
 __all__ = ["bucket_of", "class_sample", "coded", "in_order", "one_of_each_id", "scratch_dir", "settle", "slices", "spread", "sums", "table", "train_once", "unused", "words"]
 
-# Functions sent to Python workers travel by value, so that executors need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
-
 #: Text bytes that a Python worker turns into arrays at once.
 SLICE_BYTES = 4 << 20
 
@@ -29,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bucket_of(doc_id: Column | str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus`` (a null id counts as empty text)."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(None).cast("long")).cast("string").cast("binary")) % modulus
+    return F.crc32(F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:

@@ -8,8 +8,9 @@ score. A text is flagged ambiguous if the two best codewords are closer than ``M
 Up to seven languages use all distinct splits (2 ** (k - 1) - 1 bits); more use fixed pseudo-random codewords.
 Training takes about ``PER_LANGUAGE`` ids of each language at most, outside the held-out fold, and one row of each id; whole texts are used.
 
-Defined cases: a null text and one without a letter is ``und`` with score 0, as is every text if nothing was learnt;
-with one language, all other texts have that one with score 1; repeated rows agree; empty tables give no rows.
+Defined cases: a null id counts as empty text when folds are dealt, so its rows may be learnt from; a null text and one without a letter is ``und`` with score 0, as is every text if nothing was learnt;
+with one language, all other texts have that one with score 1; a text of any length counts whole; of equal losses or shares the
+first language by name wins; repeated rows agree; empty tables give no rows; columns named like results are replaced.
 """
 
 from __future__ import annotations
@@ -44,15 +45,17 @@ def _fold() -> np.ndarray:
     return t
 
 
-def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature numbers of all bigrams, of all trigrams (both by their first byte), and each text's byte offsets."""
+def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Feature numbers of all bigrams, of all trigrams (both by their first byte), and the first byte and the end of each text. Two
+    blanks stand after a text, so that no n-gram reaches into the next one."""
     binary = texts.cast(pa.binary())
-    offsets = np.concatenate([[0], np.cumsum(pc.binary_length(binary).to_numpy(zero_copy_only=False))]).astype(np.int64)
-    raw = np.frombuffer(b"".join(binary.to_pylist()) + b"  ", np.uint8)
+    lengths = pc.binary_length(binary).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(lengths + 2) - 2
+    raw = np.frombuffer(b"  ".join(binary.to_pylist()) + b"    ", np.uint8)
     b = _fold()[raw]
     pairs = b[:-2] * 256 + b[1:-1]
     triples = (((pairs * 256 + b[2:]) * np.uint32(2654435761)) >> np.uint32(32 - TRIGRAM_BITS)) + np.uint32(65536)
-    return pairs, triples, offsets
+    return pairs, triples, ends - lengths, ends
 
 
 def has_letter(texts: pa.Array) -> np.ndarray:
@@ -75,9 +78,9 @@ def code(k: int) -> np.ndarray:
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for first, texts in slices(b.column(2)):
-            pairs, triples, offsets = _grams(texts)
+            pairs, triples, starts, ends = _grams(texts)
             ids, values = [], []
-            for lo, hi in zip(offsets[:-1], offsets[1:], strict=True):
+            for lo, hi in zip(starts, ends, strict=True):
                 own, counts = np.unique(np.concatenate([pairs[lo:hi], triples[lo:hi]]), return_counts=True)
                 ids.append(own.astype("<u4").tobytes())
                 values.append((counts * (_SCALE / max(1, hi - lo))).astype("<f4").tobytes())
@@ -142,9 +145,10 @@ def predictor(model):
         for _, part in slices(texts, 1 << 20):
             known = has_letter(part) if names else np.zeros(len(part), bool)
             if names:
-                pairs, triples, offsets = _grams(part)
-                n = np.maximum(1, np.diff(offsets))[:, None]
-                values = np.column_stack([sums((w[pairs, k] + w[triples, k]).astype(np.float64), offsets) for k in range(w.shape[1])]) * _SCALE / n + w[-1]
+                pairs, triples, starts, ends = _grams(part)
+                n = np.maximum(1, ends - starts)[:, None]
+                runs = np.append(np.column_stack([starts, ends]).reshape(-1), len(pairs))
+                values = np.column_stack([sums((w[pairs, k] + w[triples, k]).astype(np.float64), runs)[::2] for k in range(w.shape[1])]) * _SCALE / n + w[-1]
                 best, share, margin = decode(values, len(names), trust)
             for i in range(len(part)):
                 langs.append(names[best[i]] if known[i] else UNDETERMINED)
@@ -163,7 +167,7 @@ def identify_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Data
     free = unused(out, "_found")
     out = out.withColumn(free, predictor(model)(F.col("text").cast("string")))
     found = {k: F.col(f"{free}.{k}") for k in ("lang_pred", "score", "ambiguous")}
-    return out.withColumns({"held_out": F.coalesce(bucket_of("doc_id", FOLDS) == HELD_OUT, F.lit(False)), **found}).drop(free)
+    return out.withColumns({"held_out": bucket_of("doc_id", FOLDS) == HELD_OUT, **found}).drop(free)
 
 
 def keep_identified(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:

@@ -21,7 +21,7 @@ grows with the number of blocks alone. A larger corpus divides the blocks in sli
 the partial sums meet in finer ranges of hashes, and the totals go back the same way; no group grows with the corpus. Only N, V and the number of
 training texts pass through the driver. Words are told apart by 64-bit hashes, longer n-grams by 56 bits.
 
-Defined cases: a null or empty text is just the end token; a null id is no training exclusion (it is in no fold); with no training text P(w) = 1 / (V + 1) with V = 0; a text longer than a
+Defined cases: a null or empty text is just the end token; a null id counts as empty text when folds are dealt, so its rows are held out; with no training text P(w) = 1 / (V + 1) with V = 0; a text longer than a
 block is a block of its own; repeated rows count as often as they occur and get equal scores (ties in a sum's order aside); empty tables give no rows; extra columns are ignored.
 """
 
@@ -342,7 +342,7 @@ def _score(n: int, v: int, texts: int, mass: tuple[float, ...]):
 def score_documents(docs: DataFrame, mass: tuple[float, ...] = MASS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    held = F.coalesce(bucket_of("doc_id", FOLDS) == HELD_OUT, F.lit(False))
+    held = bucket_of("doc_id", FOLDS) == HELD_OUT
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), text.alias("text"))
     size, training = rows.agg(F.sum(F.octet_length("text").cast("long")), F.sum((~F.col("held")).cast("long"))).first()
     wanted = 1 + (size or 0) // BUCKET_BYTES

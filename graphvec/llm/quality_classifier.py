@@ -9,7 +9,8 @@ Training takes labelled documents outside the held-out fold, about ``PER_CLASS``
 of each id, in one pass order fixed by the id's hash; whole texts are used. Labels, language, source and id are no inputs.
 
 Defined cases: null and empty texts are scored by bias and length class; several labels of one id count as the smallest;
-without both labels every score is the labels' mean (0.5 if there are none); repeated rows get equal scores; empty tables give no rows.
+without both labels every score is the labels' mean (0.5 if there are none); repeated rows get equal scores, as do texts with equal
+features; a text of any length counts whole; a null id has no label; empty tables give no rows; columns named like results are replaced.
 """
 
 from __future__ import annotations
@@ -154,7 +155,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     """The rows with held_out, score and predicted (columns of these names are replaced)."""
     weights = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class))
     out = docs.drop("held_out", "score", "predicted").withColumn("score", scorer(weights)(F.col("text").cast("string")))
-    return out.withColumns({"held_out": F.coalesce(bucket_of("doc_id", FOLDS) == HELD_OUT, F.lit(False)), "predicted": (F.col("score") >= THRESHOLD).cast("int")})
+    return out.withColumns({"held_out": bucket_of("doc_id", FOLDS) == HELD_OUT, "predicted": (F.col("score") >= THRESHOLD).cast("int")})
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:

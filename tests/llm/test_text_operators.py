@@ -120,7 +120,7 @@ def model(rows, mass, order):
     """(score of a text, probability of a token after a context) by plain recursion."""
     counts, begins = Counter(), 0
     for i, t in rows:
-        if i is None or zlib.crc32(str(i).encode()) % 10:
+        if zlib.crc32(str('' if i is None else i).encode()) % 10:
             w = [0, *words(lower(t)), None]
             counts.update(tuple(w[k : k + n]) for n in range(1, order + 1) for k in range(len(w) - n + 1) if (k, n) != (0, 1))
             begins += 1
@@ -154,7 +154,7 @@ def test_language_model(make, monkeypatch, block, bucket, order, segment):
     got = lm_score.score_documents(make(rows, clash=True), mass=(7.0, 2.0), block_bytes=block).collect()
     assert len(got) == len(rows)
     by = sorted((r.doc_id or -1, r.n_tokens, r.n_known, r.train_tokens, r.held_out, r.base_score, r.score) for r in got)
-    wanted = sorted((i or -1, *(s := score(t))[:3], i is not None and zlib.crc32(str(i).encode()) % 10 == 0, *s[3:]) for i, t in rows)
+    wanted = sorted((i or -1, *(s := score(t))[:3], zlib.crc32(str('' if i is None else i).encode()) % 10 == 0, *s[3:]) for i, t in rows)
     for a, b in zip(by, wanted, strict=True):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
 
@@ -240,6 +240,123 @@ def test_language_odd_rows(make, sample):
     assert {(r.lang_pred, r.score) for r in language_id.identify_language(make(one)).collect()} == {("xx", 1.0)}
 
 
+def fold_letters(text):
+    return [b if b >= 128 or chr(b).isalpha() else 32 for b in lower(text).encode()]
+
+
+def language_features(text):
+    """Share of each byte bigram and trigram, by plain loops; two blanks follow the text."""
+    b, n = fold_letters(text), len((text or "").encode())
+    b += [32, 32]
+    out = Counter(b[i] * 256 + b[i + 1] for i in range(n))
+    out.update((((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 2654435761 & 0xFFFFFFFF) >> 16) + 65536 for i in range(n))
+    return {k: c * 20 / max(1, n) for k, c in out.items()}
+
+
+def plain_languages(train, texts):
+    """(best language, share) of each text: adaptive gradient steps for each bit and loss-weighted decoding, without arrays."""
+    names = sorted({y for _, y, _ in train})
+    words = [[1 if s >> i & 1 else -1 for s in range(1, 1 << (len(names) - 1))] for i in range(len(names))]
+    data = [({**language_features(t), "bias": 1.0}, words[names.index(y)]) for _, y, t in train]
+    bits, models = len(words[0]), []
+    for bit in range(bits):
+        w, squares, right = Counter(), Counter(), 0
+        for epoch in range(6):
+            for x, code in data:
+                y = code[bit]
+                f = sum(v * w[k] for k, v in x.items())
+                right += epoch == 5 and f * y > 0
+                for k, v in x.items():
+                    g = v * -y / (1 + math.exp(max(-30, min(30, y * f))))
+                    squares[k] += g * g
+                    w[k] -= 0.5 * g / math.sqrt(1e-6 + squares[k])
+        accuracy = min(0.999, max(0.5, right / len(data)))
+        models.append((w, math.log(accuracy / (1 - accuracy)) / math.log(999)))
+    out = []
+    for t in texts:
+        x = {**language_features(t), "bias": 1.0}
+        f = [sum(v * w[k] for k, v in x.items()) for w, _ in models]
+        loss = [sum(trust * math.log1p(math.exp(-max(-30, min(30, v * b)))) for v, b, (_, trust) in zip(f, code, models, strict=True)) for code in words]
+        share = [math.exp(min(loss) - x) for x in loss]
+        out.append((names[loss.index(min(loss))], max(share) / sum(share)))
+    return out
+
+
+def test_languages_equal_a_plain_version(spark, make):
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("lang is not null and length(text) between 100 and 3000").orderBy("doc_id").limit(60).collect()]
+    rows += [(5000, "Le", None), (5001, "x" * 30000, None), (5002, "été ñandú", None), (rows[0][0], rows[0][1], rows[0][2]), (5003, "zz", None)]
+    h = {r.doc_id: r.h for r in make(rows).selectExpr("doc_id", "xxhash64(doc_id) as h").collect()}
+    train = sorted({(h[i], y, t) for i, t, y in rows if y and zlib.crc32(str(i).encode()) % 4 != 2}, key=lambda r: r[0])
+    got = language_id.identify_language(make(rows, clash=True)).collect()
+    wanted = dict(zip([t for _, t, _ in rows], plain_languages(train, [t for _, t, _ in rows]), strict=True))
+    assert len(got) == len(rows) and len({r.lang_pred for r in got}) > 2
+    for r in got:
+        assert r.score == pytest.approx(wanted[r.text][1], abs=2e-3)
+        assert r.lang_pred == wanted[r.text][0]
+    first = [r.score for r in got if r.doc_id == rows[0][0]]
+    assert len(first) == 2 and first[0] == first[1]
+
+
+def quality_features(text):
+    """{feature: value} by plain loops."""
+    import xxhash
+
+    size, mask, w = 1 << 18, (1 << 64) - 1, words(text)
+    number = lambda h: ((h & mask) * 0x9E3779B97F4A7C15 & mask) >> 46
+    names = [xxhash.xxh3_64_intdigest(x.encode(), 1) for x in w]
+    shapes = [xxhash.xxh3_64_intdigest(quality_classifier._shape(x.encode()), 2) for x in w]
+    kinds = []
+    for h in (names, shapes):
+        kinds += [[number(x) for x in h], [number(a * 3 + b * 0x5851F42D4C957F2D) for a, b in itertools.pairwise(h)]]
+    seen, marks = set(), []
+    for k in range(len(w)):
+        window = tuple(w[k - 2 : k + 1]) if k > 1 else None
+        marks.append(number(11 + (window is not None and window in seen)))
+        seen.add(window)
+    out = Counter()
+    for kind in (*kinds, marks):
+        for x in kind:
+            out[x] += 8.0 / len(kind)
+    out[number(101 + len(w).bit_length())] += 1.0
+    assert all(0 <= k < size for k in out)
+    return out
+
+
+def plain_quality(train, texts):
+    """Scores by follow-the-regularised-leader with dictionaries."""
+    z, n, data = Counter(), Counter(), [({**quality_features(t), "bias": 1.0}, y) for _, y, t in train]
+    share = {y: len(data) / 2 / sum(b == y for _, b in data) for y in (0, 1)}
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= 0.02 else -(z[k] - math.copysign(0.02, z[k])) / ((1 + math.sqrt(n[k])) / 0.5 + 0.05)
+
+    for _ in range(4):
+        for x, y in data:
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + math.exp(-max(-30, min(30, sum(w[k] * v for k, v in x.items())))))
+            for k, v in x.items():
+                g = (p - y) * v * share[y]
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / 0.5 * w[k]
+                n[k] += g * g
+    return [1 / (1 + math.exp(-max(-30, min(30, sum(weight(k) * v for k, v in {**quality_features(t), "bias": 1.0}.items()))))) for t in texts]
+
+
+def test_quality_equals_a_plain_version(spark, make):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) between 50 and 2500").orderBy("doc_id").limit(300).collect()}
+    marked = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect() if r.doc_id in docs}
+    picked = [i for y in (0, 1) for i in sorted(i for i in marked if marked[i] == y)[:15]]
+    labels = spark.createDataFrame([(i, marked[i], 0) for i in picked], "doc_id bigint, quality int, toxic int")
+    rows = [(i, docs[i]) for i in picked] + [(9000, "a b c a b c a b c"), (9001, None), (9002, "word " * 3000), (9003, "!!! 12 Ab-c")]
+    h = {r.doc_id: r.h for r in make(rows).selectExpr("doc_id", "xxhash64(doc_id) as h").collect()}
+    train = sorted((h[i], marked[i], docs[i]) for i in picked if zlib.crc32(str(i).encode()) % 4 != 2)
+    wanted = dict(zip([i for i, _ in rows], plain_quality(train, [t for _, t in rows]), strict=True))
+    got = quality_classifier.score_quality(make(rows, clash=True), labels).collect()
+    assert {y for _, y, _ in train} == {0, 1} and len(got) == len(rows)
+    for r in got:
+        assert r.score == pytest.approx(wanted[r.doc_id], abs=1e-4)
+        assert r.predicted == (r.score >= 0.7)
+
+
 def test_codewords_are_distinct_and_decoding_corrects_an_error():
     import numpy as np
 
