@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,17 +29,44 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/graphvec-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
+#: Paths of the tables that each open scope will remove.
+_scopes: list[list[str]] = []
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that are settled inside go when it ends, but for those settled with ``keep``."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _remove(spark, path)
+
+
+def settle(df: DataFrame, instead_of: DataFrame | None = None, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: later stages neither recompute it nor depend on one executor.
 
-    The table goes when the driver ends.
+    The table goes with the innermost ``passing`` around it (unless ``keep``), or when the driver ends. ``instead_of``: a settled table that nobody
+    reads any more once this one is written; it goes then.
     """
     spark = df.sparkSession
     path = scratch_dir(spark)
     df.write.parquet(path, compression="zstd")
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    if _scopes and not keep:
+        _scopes[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_in = path
+    if hasattr(instead_of, "settled_in"):
+        _remove(spark, instead_of.settled_in)
+    return out
 
 
 def in_order(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
