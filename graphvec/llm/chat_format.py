@@ -93,7 +93,7 @@ def _walk(branches: DataFrame, lengths: DataFrame) -> DataFrame:
     known = settle(runs.select(F.inline(ways)))
     while not known.filter("next is not null").isEmpty():
         ahead = known.select(F.col("id").alias("next"), F.col("next").alias("after"), F.col("sum").alias("more"))
-        known = settle(known.join(ahead, "next", "left").select("id", F.col("after").alias("next"), (F.col("sum") + F.coalesce("more", F.lit(0))).alias("sum")))
+        known = settle(known.join(ahead, "next", "left").select("id", F.col("after").alias("next"), (F.col("sum") + F.coalesce("more", F.lit(0))).alias("sum")), instead_of=known)
     return known.filter("id % 2 = 0").select(F.expr("id div 2").alias("head"), F.col("sum").alias("behind"))
 
 

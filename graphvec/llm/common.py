@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import in_order, scratch_dir, settle
+from ..sources.scratch import in_order, passing, scratch_dir, settle
 
-__all__ = ["bucket_of", "class_sample", "coded", "in_order", "one_of_each_id", "scratch_dir", "settle", "slices", "spread", "sums", "table", "train_once", "unused", "words"]
+__all__ = ["bucket_of", "class_sample", "coded", "in_order", "one_of_each_id", "passing", "scratch_dir", "settle", "slices", "spread", "sums", "table", "train_once", "unused", "words"]
 
 #: Text bytes that a Python worker turns into arrays at once.
 SLICE_BYTES = 4 << 20

@@ -101,7 +101,7 @@ def _tokenize(path: str | None):
     return run
 
 
-def _cut(window: int):
+def _cut(window: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
@@ -111,10 +111,12 @@ def _cut(window: int):
                 while start < n:
                     sequence, offset = divmod(at + start, window)
                     length = min(window - offset, n - start)
-                    out.append((doc_id, start, length, zlib.crc32(view[4 * start : 4 * (start + length)]), n, sequence, offset))
+                    ids = view[4 * start : 4 * (start + length)]
+                    out.append((doc_id, start, length, zlib.crc32(ids), n, sequence, offset, *((bytes(ids),) if keep_ids else ())))
                     start += length
-            columns = list(zip(*out, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if keep_ids else [])]
+            columns = list(zip(*out, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == "ids" else pa.int64()) for k, c in zip(names, columns, strict=True)], names)
 
     return run
 
@@ -137,10 +139,6 @@ def with_offsets(rows: DataFrame) -> DataFrame:
 
 
 def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
-    """One row per piece: where it lies in its document and in its sequence. keep_ids: with the piece's token ids."""
+    """One row per piece: where it lies in its document and in its sequence. keep_ids: with the piece's token ids (little-endian 32-bit)."""
     placed = with_offsets(tokenized(docs, tokenizer))
-    pieces = placed.select("doc_id", "at", "tokens", "n_tokens").mapInArrow(_cut(window), PIECES)
-    if not keep_ids:
-        return pieces
-    long = placed.select("doc_id", "at", "tokens").alias("t")
-    return pieces.alias("p").join(long, (F.col("p.doc_id").eqNullSafe(F.col("t.doc_id"))) & (F.col("p.sequence_id") * window + F.col("p.offset") - F.col("p.start") == F.col("t.at"))).select("p.*", F.expr("substring(t.tokens, cast(4 * p.start + 1 as int), cast(4 * p.length as int))").alias("ids"))
+    return placed.select("doc_id", "at", "tokens", "n_tokens").mapInArrow(_cut(window, keep_ids), PIECES + (", ids binary" if keep_ids else ""))

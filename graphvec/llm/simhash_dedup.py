@@ -15,7 +15,8 @@ value. Linking each to the smallest of its value gives the same components in li
 
 Defined cases: null or empty text and text without a word has fingerprint zero and is linked like any other;
 one or two words form a single shingle; repeated rows share their component; a null id never names a component
-unless all its members have null ids; an empty table gives an empty result; extra columns are ignored.
+unless all its members have null ids; a text of any length is read whole; equal counts of set and unset
+hashes leave a bit 0, and of equal fingerprints the smallest id stands for all; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -143,7 +144,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(F.explode(F.array("a", "b")).alias("b"), F.col("m").alias("a")).filter("a < b").distinct()
-        edges = settle(small.select("a", "b"))
+        edges = settle(small.select("a", "b"), instead_of=edges)
         now = state(edges)
         if now == seen:
             break

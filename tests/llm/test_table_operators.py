@@ -1,5 +1,6 @@
 """Operators that look at whole tables: sharding, packing, near-duplicates, chat formatting and the pipeline."""
 
+import os
 import zlib
 from collections import Counter
 
@@ -13,6 +14,8 @@ from hypothesis import strategies as st
 import corpus_pipeline
 from graphvec.llm import chat_format, common, decontaminate, language_id, packing, quality_classifier, sharding, simhash_dedup
 
+from graphvec.sources import scratch
+
 from .conftest import CLASHES, ODD
 from .test_text_operators import lower, words
 
@@ -366,6 +369,49 @@ def test_pipeline_equals_its_stages_by_hand(spark, sf_dir):
     check_pieces(corpus_pipeline.run(spark, sf_dir).collect(), list(left.items()))
 
 
+def test_pieces_of_the_pipeline_spell_the_documents(spark, sf_dir):
+    got = corpus_pipeline.run(spark, sf_dir).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    coder, spelt = packing.Coder(packing.default_tokenizer()), {}
+    for r in sorted(got, key=lambda r: (r.doc_id, r.start)):
+        assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
+        spelt[r.doc_id] = spelt.get(r.doc_id, b"") + bytes(r.ids)
+    assert len(spelt) > 50
+    for i, ids in spelt.items():
+        assert np.frombuffer(ids, "<u4").tolist() == [*coder.own.encode(texts[i], add_special_tokens=False).ids, 0]
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, make, tmp_path, sf_dir):
+    real = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").filter("length(text) > 400").collect()]
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("labels", "benchmark")}
+    odd = make([*((None if i is None else i + 10**6, t) for i, t in ODD), *real, *real[:5], (None, real[0][1])], clash=True)
+    left = {}
+    for name, docs, labels, benchmark in (
+        ("odd", odd, tables["labels"], tables["benchmark"]), ("empty", odd.limit(0), tables["labels"], tables["benchmark"]),
+        ("unlabelled", odd, tables["labels"].limit(0), tables["benchmark"]), ("no_benchmark", odd, tables["labels"], tables["benchmark"].limit(0)), ("nothing", odd.limit(0), tables["labels"].limit(0), tables["benchmark"].limit(0)),
+    ):
+        for t, df in (("documents", docs), ("labels", labels), ("benchmark", benchmark)):
+            df.write.parquet(f"{tmp_path}/{name}/{t}.parquet")
+        left[name] = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+    assert not left["empty"] and not left["unlabelled"] and not left["nothing"]
+    firsts = {k: [(r.doc_id, r.ids_crc32) for r in v if r.start == 0] for k, v in left.items()}
+    # repeated rows leave one, those without a letter none
+    assert len(firsts["odd"]) > 30 and len(set(firsts["odd"])) == len(firsts["odd"])
+    assert {i for i, _ in firsts["odd"]} <= {i for i, _ in firsts["no_benchmark"]} and not {i for i, _ in firsts["no_benchmark"]} & {10**6 + 1, 10**6 + 2, 10**6 + 3}
+    # of the rows without id the copy goes, the text of its own may stay
+    assert sum(i is None for i, _ in firsts["odd"]) <= 1
+
+
+def test_stages_leave_no_tables_behind(spark, sf_dir):
+    base = scratch.scratch_dir(spark).rpartition("/")[0].removeprefix("file://").removeprefix("file:")
+    before = set(os.listdir(base))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        with scratch.passing(spark):
+            docs = scratch.settle(stage(spark, docs, sf_dir), instead_of=docs, keep=True)
+    assert docs.count() > 0 and len(set(os.listdir(base)) - before) == 1
+
+
 def test_stages_keep_the_columns(spark, sf_dir, make):
     odd = make([(i if i is None else i + 10**6, t, "en") for i, t in ODD], clash=True)
     for _, stage in corpus_pipeline.STAGES[:-1]:
