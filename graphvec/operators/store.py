@@ -7,7 +7,7 @@ between leaves nothing behind, ids included. ``bulk_load`` takes whole tables wi
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import replace
 from typing import Any, TypeVar
 
@@ -116,12 +116,15 @@ class GraphStore:
     def update_edge(self, edge_id: int) -> Update:
         return Update(lambda ops: self.batch(lambda tx: tx.apply("edge", edge_id, ops)))
 
-    def bulk_load(self, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> None:
+    def bulk_load(self, nodes: DataFrame | None = None, edges: DataFrame | None = None, batch: tuple[str, int] | None = None) -> None:
         """Appends tables (label, props and for edges src, dst; ids are given in the order of all columns) in one commit.
 
-        Endpoints, unique constraints and vector lengths are checked by joins and aggregations.
+        Endpoints, unique constraints and vector lengths are checked by joins and aggregations. ``batch``: the stream and number of a
+        micro-batch; one that the graph has is skipped.
         """
         s = self._snapshot
+        if batch and s.loaded.get(batch[0], -1) >= batch[1]:
+            return
         new, counts = {}, {}
         for kind, df, first in (("node", nodes, s.next_node), ("edge", edges, s.next_edge)):
             if df is None:
@@ -146,7 +149,7 @@ class GraphStore:
             vector = F.col("props").getItem(prop).getField("v")
             if "node" in new and not new["node"].filter((F.col("label") == label) & vector.isNotNull() & (F.size(vector) != dim)).isEmpty():
                 raise InvalidVectorDim(f"expected {dim} dimensions for {label}::{prop}")
-        after = Snapshot(s.version + 1, after_nodes, after_edges, s.catalog, s.next_node + counts.get("node", 0), s.next_edge + counts.get("edge", 0))
+        after = Snapshot(s.version + 1, after_nodes, after_edges, s.catalog, s.next_node + counts.get("node", 0), s.next_edge + counts.get("edge", 0), s.loaded | dict([batch] if batch else []))
         self._snapshot = self.storage.commit(self.spark, after, True)
 
     # indexes
@@ -226,6 +229,8 @@ class Transaction:
         #: Changed items by id; none: deleted.
         self._items: dict[str, dict[int, Any]] = {"node": {}, "edge": {}}
         self._dead: set[int] = set()
+        #: Nodes of the base that are known to exist there.
+        self._seen: set[int] = set()
         self._next = {"node": self._base.next_node, "edge": self._base.next_edge}
 
     @property
@@ -295,14 +300,26 @@ class Transaction:
         return node_id
 
     def add_edge(self, src: int, dst: int, label: str, props: Props = ()) -> int:
-        self.get_node(src)
-        self.get_node(dst)
+        for end in (src, dst):
+            if end in self._items["node"] or end not in self._seen:
+                self.get_node(end)
+                self._seen.add(end)
         props = {p: canonical(v) for p, v in dict(props).items()}
         self._check("edge", label, props, None)
         edge_id = self._new_id("edge")
         self._items["edge"][edge_id] = Edge(edge_id, src, dst, label, props)
         return edge_id
 
+    def add_edges(self, edges: Iterable[tuple[int, int, str, Props]]) -> list[int]:
+        """Adds many edges; all ends that the transaction doesn't know yet are looked up together. Unique properties are still checked one by one."""
+        edges = list(edges)
+        ends = {i for src, dst, *_ in edges for i in (src, dst)} - self._items["node"].keys() - self._seen
+        wanted = sorted(i for i in ends if 0 < i <= _MOST)
+        if wanted:
+            rows = self._store.spark.createDataFrame([(i,) for i in wanted], "id bigint")
+            self._seen |= {r.id for r in rows.join(self._base.nodes.select("id"), "id", "left_semi").collect()}
+        return [self.add_edge(*e) for e in edges]
+
     def delete_node(self, node_id: int) -> None:
         """Also deletes all edges from and to the node."""
         self.get_node(node_id)
@@ -353,14 +370,14 @@ class Transaction:
         for kind, schema in (("node", NODES), ("edge", EDGES)):
             rows, items = self._table(kind), self._items[kind]
             if items:
-                gone = F.broadcast(spark.createDataFrame([(i,) for i in items], "id bigint"))
+                gone = spark.createDataFrame([(i,) for i in items], "id bigint")
                 rows = rows.join(gone, "id", "left_anti")
             if kind == "edge" and self._dead:
-                dead = F.broadcast(spark.createDataFrame([(i,) for i in sorted(self._dead)], "dead bigint"))
+                dead = spark.createDataFrame([(i,) for i in sorted(self._dead)], "dead bigint")
                 rows = rows.join(dead, F.col("src") == F.col("dead"), "left_anti").join(dead, F.col("dst") == F.col("dead"), "left_anti")
             kept = [x for x in items.values() if x is not None]
             if kept:
                 data = [(x.id, *((x.src, x.dst) if kind == "edge" else ()), x.label, {p: bag_value(v) for p, v in x.properties.items()}) for x in kept]
                 rows = rows.unionByName(spark.createDataFrame(data, schema))
             tables[kind] = rows
-        return Snapshot(self._base.version + 1, tables["node"], tables["edge"], self._catalog, self._next["node"], self._next["edge"])
+        return Snapshot(self._base.version + 1, tables["node"], tables["edge"], self._catalog, self._next["node"], self._next["edge"], self._base.loaded)

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .errors import DuplicateKey
 from .functions.similarity import COSINE, DOT, EUCLIDEAN, VectorConfig
 from .functions.values import BAG
 from .operators.graph import PropertyGraph
 from .operators.knn import batch_nearest
 from .operators.store import GraphStore
 from .plans.predicates import Filter
+from .sources.scratch import scratch_dir
 from .sources.testdata import EDGE_LABELS, LINE_ORDER, NODE_LABELS, graph
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +78,10 @@ def _e(label: str) -> str:
     return f"({_EDGES[label]})"
 
 
+def _number(g: PropertyGraph, n: int) -> DataFrame:
+    return g.spark.createDataFrame([(n,)], "n bigint")
+
+
 # scans and point reads
 
 
@@ -254,7 +261,7 @@ def hop1_filtered_nodes(g: PropertyGraph) -> DataFrame:
 
 @_register(f"SELECT count(*) AS n FROM {_e('EMITTED')} WHERE src = 7000000002 AND event_type = 'click'")
 def hop1_filtered_count(g: PropertyGraph) -> DataFrame:
-    return g.node(7000000002).outgoing("EMITTED").eq("event_type", "click")._rows().agg(F.count("*").alias("n"))
+    return _number(g, g.node(7000000002).outgoing("EMITTED").eq("event_type", "click").count())
 
 
 # several hops
@@ -329,7 +336,7 @@ def first_node(g: PropertyGraph) -> DataFrame:
 
 @_register(f"SELECT count(*) AS n FROM {_n('Part')} WHERE p_size = 7")
 def count_ignores_limit(g: PropertyGraph) -> DataFrame:
-    return g.nodes().label("Part").eq("p_size", 7).limit(3)._all().agg(F.count("*").alias("n"))
+    return _number(g, g.nodes().label("Part").eq("p_size", 7).limit(3).count())
 
 
 @_register(f"SELECT id FROM {_n('Customer')} ORDER BY id LIMIT 21")
@@ -443,13 +450,6 @@ def stats_labels(g: PropertyGraph) -> DataFrame:
     return g.label_counts()
 
 
-@_register("SELECT * FROM (VALUES " + ", ".join(f"('{label}', '{p}')" for label, q in sorted(_NODES.items()) for p in {"Region": ["r_name"], "Nation": ["n_name"], "Part": ["p_brand", "p_name", "p_retailprice", "p_size", "p_type"]}.get(label, [])) + ") t(label, prop)")
-def stats_indexes(g: PropertyGraph) -> DataFrame:
-    listed = g.catalog.listed("node")
-    rows = [(label, p) for label in ("Nation", "Part", "Region") for p in listed[label]]
-    return g.spark.createDataFrame(rows, "label string, prop string")
-
-
 _INDEXED = {
     "node": {
         "Chunk": "cluster", "Customer": "c_acctbal c_mktsegment c_name", "Document": "lang n_chars quality source toxic", "Event": "event_type ts value", "Nation": "n_name",
@@ -461,6 +461,12 @@ _INDEXED = {
 }
 
 
+@_register(" UNION ALL ".join(f"SELECT '{label}' AS label, column_name AS prop FROM (DESCRIBE SELECT * FROM ({q})) WHERE column_name NOT IN ('id', 'embedding')" for label, q in _NODES.items()))
+def stats_indexes(g: PropertyGraph) -> DataFrame:
+    """The properties of all node labels that the statistics list."""
+    return g.spark.createDataFrame([(label, p) for label, props in g.stats().node_indexes.items() for p in props], "label string, prop string")
+
+
 @_register("SELECT * FROM (VALUES " + ", ".join(f"('{kind}', '{label}', '{p}')" for kind, labels in _INDEXED.items() for label, props in labels.items() for p in props.split()) + ") t(kind, label, prop)")
 def stats_indexes_all(g: PropertyGraph) -> DataFrame:
     rows = [(kind, label, p) for kind in ("node", "edge") for label, props in g.catalog.listed(kind).items() for p in props]
@@ -528,6 +534,84 @@ def batch_commit_counts(g: PropertyGraph) -> DataFrame:
     return s.edges.agg(F.lit("edges").alias("what"), F.count("*").alias("n")).unionByName(s.nodes.agg(F.lit("nodes").alias("what"), F.count("*").alias("n")))
 
 
+@_register("SELECT 'edges' AS what, count(*) AS n FROM nation WHERE n_name <> 'NATION_6' UNION ALL SELECT 'europe', count(*) FILTER (WHERE r_name = 'EUROPE' OR n_name = 'NATION_18') FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name <> 'NATION_6'")
+def delete_and_update_edge(g: PropertyGraph) -> DataFrame:
+    """NATION_6 loses its edge, that of NATION_18 is moved to EUROPE."""
+    store = _store(g)
+    s = store._snapshot
+    ids = {r.name: r.id for r in s.nodes.select("id", F.coalesce(F.expr("props['n_name'].s"), F.expr("props['r_name'].s")).alias("name")).filter("name IN ('NATION_6', 'NATION_18', 'EUROPE')").collect()}
+    edges = {r.src: r.id for r in s.edges.filter(F.col("src").isin([ids["NATION_6"], ids["NATION_18"]])).collect()}
+    store.delete_edge(edges[ids["NATION_6"]])
+    store.update_edge(edges[ids["NATION_18"]]).set_to(ids["EUROPE"]).apply()
+    s = store._snapshot
+    return s.edges.agg(F.lit("edges").alias("what"), F.count("*").alias("n")).unionByName(s.edges.filter(F.col("dst") == ids["EUROPE"]).agg(F.lit("europe").alias("what"), F.count("*").alias("n")))
+
+
+@_register("SELECT n_name, CAST(version AS BIGINT) AS version FROM nation, (VALUES (2), (3)) t(version) UNION ALL SELECT 'ATLANTIS', 3")
+def reopened_storage(g: PropertyGraph) -> DataFrame:
+    """A stored graph that is opened again has its latest version, and each earlier one as it was."""
+    path = scratch_dir(g.spark)
+    store = GraphStore.open(g.spark, path)
+    store.bulk_load(nodes=g.view("node", "Region").records().select("label", "props"))
+    store.bulk_load(nodes=g.view("node", "Nation").records().select("label", "props"))
+    store.add_node("Nation", {"n_name": "ATLANTIS"})
+    storage = GraphStore.open(g.spark, path).storage
+    at = {v: storage.load(g.spark, v).nodes.filter("label = 'Nation'") for v in storage.versions(g.spark)[-2:]}
+    return reduce(DataFrame.unionByName, (df.select(F.expr("props['n_name'].s").alias("n_name"), F.lit(v).cast("bigint").alias("version")) for v, df in at.items()))
+
+
+@_register("SELECT r_name, 'DuplicateKey' AS error FROM region")
+def unique_insert_rejected(g: PropertyGraph) -> DataFrame:
+    """Every region's name once more, in a transaction each that leaves nothing behind."""
+    store = _store(g)
+    store.indexes().nodes().create_unique("Region", "r_name")
+    names, found, before = sorted(r.r_name for r in g.view("node", "Region").df.collect()), [], store.version
+    for name in names:
+        try:
+            store.add_node("Region", {"r_name": name})
+        except DuplicateKey:
+            found.append((name, "DuplicateKey"))
+    return g.spark.createDataFrame(found if store.version == before else [], "r_name string, error string")
+
+
+@_register(f"SELECT n.id, n.label, row_number() OVER (ORDER BY n.id) - 1 AS pos FROM ({_TWO}) t JOIN ({_ANY_NODE}) n USING (id)")
+def hop_multi_nodes(g: PropertyGraph) -> DataFrame:
+    """The records that a chain reaches, in their order."""
+    return _in_order(g, g.node(3000000001).outgoing("PLACED").then_outgoing("CONTAINS").nodes())
+
+
+@_register(f"SELECT count(*) AS n FROM {_e('CONTAINS')} WHERE l_returnflag = 'R'")
+def count_edges(g: PropertyGraph) -> DataFrame:
+    return _number(g, g.edges().label("CONTAINS").eq("l_returnflag", "R").count())
+
+
+@_register(f"SELECT id, 'Part' AS label, row_number() OVER (ORDER BY id) - 1 AS pos FROM {_n('Part')} WHERE p_size = 7 ORDER BY id LIMIT 9")
+def collected_order(g: PropertyGraph) -> DataFrame:
+    return _in_order(g, g.nodes().label("Part").eq("p_size", 7).limit(9).collect())
+
+
+@_register(f"SELECT id, 'Customer' AS label, row_number() OVER (ORDER BY id) - 1 AS pos FROM {_n('Customer')} WHERE c_acctbal > 0")
+def pages_by_cursor(g: PropertyGraph) -> DataFrame:
+    """All pages, each asked for by the cursor of the one before."""
+    query, out, cursor = g.nodes().label("Customer").gt("c_acctbal", 0.0), [], None
+    while True:
+        page = (query.after(cursor) if cursor else query).page(200)
+        out += page.items
+        cursor = page.next_cursor
+        if not cursor:
+            return _in_order(g, out)
+
+
+@_register(f"SELECT id, label, pos FROM (SELECT id, 'Chunk' AS label, rank - 1 AS pos FROM ({_knn_sql(_COS, 4)}))")
+def knn_page(g: PropertyGraph) -> DataFrame:
+    _vectors(g, COSINE)
+    return _in_order(g, g.nodes().label("Chunk").nearest("embedding", _query(g), 10).page(4).items)
+
+
+def _in_order(g: PropertyGraph, records: list) -> DataFrame:
+    return g.spark.createDataFrame([(r.id, r.label, k) for k, r in enumerate(records)], "id bigint, label string, pos bigint")
+
+
 # the engine's own extension: filters on the nodes that a chain reaches
 
 

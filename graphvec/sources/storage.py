@@ -28,6 +28,8 @@ class Snapshot:
     catalog: Catalog = field(default_factory=Catalog)
     next_node: int = 1
     next_edge: int = 1
+    #: The last micro-batch of each stream that was loaded, by its checkpoint.
+    loaded: dict[str, int] = field(default_factory=dict)
 
 
 class Storage(Protocol):
@@ -51,7 +53,7 @@ class MemoryStorage:
         if snapshot.version != self.load(spark).version + 1:
             raise TransactionConflict(f"version {snapshot.version} was committed by another writer")
         if data_changed:
-            snapshot = Snapshot(snapshot.version, settle(snapshot.nodes), settle(snapshot.edges), snapshot.catalog, snapshot.next_node, snapshot.next_edge)
+            snapshot = Snapshot(snapshot.version, settle(snapshot.nodes), settle(snapshot.edges), snapshot.catalog, snapshot.next_node, snapshot.next_edge, snapshot.loaded)
         self._now = snapshot
         return snapshot
 
@@ -59,8 +61,9 @@ class MemoryStorage:
 class ParquetStorage:
     """Immutable Parquet snapshots under one path of any Hadoop file system.
 
-    A version is committed by creating its manifest file, which fails if it exists: of two writers one gets a conflict, and
-    readers of older versions are never disturbed. Old versions stay until removed by hand.
+    A version is committed by renaming its complete manifest, which fails if there is one: of two writers one gets a conflict, and
+    readers see whole manifests only. The file system must rename without replacing in one step, as HDFS does; object stores need one with a
+    conditional put below the same interface. Old versions stay until removed by hand.
     """
 
     def __init__(self, path: str):
@@ -85,7 +88,7 @@ class ParquetStorage:
         version = versions[-1] if version is None else version
         data = json.loads("\n".join(r.value for r in spark.read.text(f"{self.path}/manifest-{version}.json", wholetext=True).collect()))
         tables = [spark.read.schema(s).parquet(f"{self.path}/{data['data']}/{t}") for t, s in (("nodes", NODES), ("edges", EDGES))]
-        return Snapshot(version, *tables, Catalog.from_json(data["catalog"]), data["next_node"], data["next_edge"])
+        return Snapshot(version, *tables, Catalog.from_json(data["catalog"]), data["next_node"], data["next_edge"], data.get("loaded", {}))
 
     def commit(self, spark: SparkSession, snapshot: Snapshot, data_changed: bool) -> Snapshot:
         jvm, fs, root = self._fs(spark)
@@ -98,12 +101,18 @@ class ParquetStorage:
             snapshot.edges.sortWithinPartitions("label", "src").write.parquet(f"{self.path}/{folder}/edges")
         else:
             folder = json.loads(spark.read.text(f"{self.path}/manifest-{last[-1]}.json", wholetext=True).first()[0])["data"]
-        manifest = {"data": folder, "catalog": snapshot.catalog.to_json(), "next_node": snapshot.next_node, "next_edge": snapshot.next_edge}
-        target = jvm.org.apache.hadoop.fs.Path(root, f"manifest-{snapshot.version}.json")
-        try:
-            out = fs.create(target, False)
-        except Exception as e:
-            raise TransactionConflict(f"version {snapshot.version} was committed by another writer") from e
+        manifest = {"data": folder, "catalog": snapshot.catalog.to_json(), "next_node": snapshot.next_node, "next_edge": snapshot.next_edge, "loaded": snapshot.loaded}
+        hadoop = jvm.org.apache.hadoop.fs
+        target, aside = (hadoop.Path(root, n) for n in (f"manifest-{snapshot.version}.json", f"_{uuid.uuid4().hex}"))
+        out = fs.create(aside, False)
         out.write(json.dumps(manifest).encode())
         out.close()
+        never = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+        try:
+            hadoop.FileContext.getFileContext(root.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(aside), fs.makeQualified(target), never)
+        except Exception as e:
+            fs.delete(aside, False)
+            if fs.exists(target):
+                raise TransactionConflict(f"version {snapshot.version} was committed by another writer") from e
+            raise
         return self.load(spark, snapshot.version)

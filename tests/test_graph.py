@@ -340,3 +340,59 @@ print("nearest", [r.id for r in batch_nearest(view, "v", [(7, [1.0, 0.1])], 1).c
 """
     run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
     assert "nearest [1]" in run.stdout, run.stdout + run.stderr[-2000:]
+
+
+def test_a_batch_that_runs_again_adds_nothing(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from graphvec.functions.values import BAG
+    from graphvec.sources.storage import ParquetStorage
+
+    for storage in (None, ParquetStorage(f"{tmp_path}/graph")):
+        store = GraphStore(spark, storage)
+        rows = spark.createDataFrame([("A",), ("B",)], "label string").withColumn("props", F.create_map().cast(BAG))
+        for number in (0, 0, 1, 0, 1):
+            store.refresh().bulk_load(nodes=rows, batch=("stream", number))
+        store.add_node("C")
+        store.refresh().bulk_load(nodes=rows, batch=("stream", 1))
+        store.refresh().bulk_load(nodes=rows, batch=("other", 0))
+        assert store.nodes().count() == 7
+
+
+def test_a_manifest_is_whole_or_absent(spark, tmp_path):
+    import os
+
+    from graphvec.sources.storage import ParquetStorage
+
+    store = GraphStore.open(spark, f"{tmp_path}/graph")
+    store.add_node("A")
+    late = GraphStore.open(spark, f"{tmp_path}/graph")
+    store.add_node("B")
+    with pytest.raises(TransactionConflict):
+        late.add_node("C")
+    names = [n for n in os.listdir(tmp_path / "graph") if not n.startswith(("v=", "."))]
+    assert sorted(names) == ["manifest-1.json", "manifest-2.json"] and all(os.path.getsize(tmp_path / "graph" / n) for n in names)
+    assert ParquetStorage(f"{tmp_path}/graph").load(spark).version == 2
+    # a writer that saw the older version only finds its manifest taken when it renames its own
+    storage, base = late.storage, late._snapshot
+    storage.versions = lambda _: [1]
+    with pytest.raises(TransactionConflict):
+        storage.commit(spark, type(base)(2, base.nodes, base.edges, base.catalog, base.next_node, base.next_edge), False)
+
+
+def test_many_edges_take_few_jobs(spark):
+    store = GraphStore(spark)
+    ids = store.batch(lambda tx: [tx.add_node("V") for _ in range(200)])
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    sc.setJobGroup("edges", "")
+    try:
+        store.batch(lambda tx: tx.add_edges((a, b, "E", {}) for a in ids[:60] for b in ids[60:100]))
+        jobs = len(tracker.getJobIdsForGroup("edges"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert store.edges().count() == 2400 and jobs < 30
+    with pytest.raises(NodeNotFound):
+        store.batch(lambda tx: tx.add_edges([(ids[0], ids[1], "E", {}), (ids[0], 10**6, "E", {})]))
+    with pytest.raises(NodeNotFound):
+        store.batch(lambda tx: (tx.add_edge(ids[0], ids[1], "E"), tx.delete_node(ids[1]), tx.add_edge(ids[0], ids[1], "E")))
+    assert store.edges().count() == 2400
