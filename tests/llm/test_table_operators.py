@@ -308,8 +308,8 @@ def test_replies_follow_their_originals(spark):
 def test_deep_and_wide_branches(spark, monkeypatch, shape):
     n, rng, written, settle = 1600, np.random.default_rng(4), [], chat_format.settle
 
-    def counted(df):
-        out = settle(df)
+    def counted(df, **more):
+        out = settle(df, **more)
         written.append((out.columns, out.count()))
         return out
 
