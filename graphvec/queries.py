@@ -602,7 +602,7 @@ def pages_by_cursor(g: PropertyGraph) -> DataFrame:
             return _in_order(g, out)
 
 
-@_register(f"SELECT id, label, pos FROM (SELECT id, 'Chunk' AS label, rank - 1 AS pos FROM ({_knn_sql(_COS, 4)}))")
+@_register(f"SELECT id, label, pos FROM (SELECT id, 'Chunk' AS label, CAST(rank - 1 AS BIGINT) AS pos FROM ({_knn_sql(_COS, 4)}))")
 def knn_page(g: PropertyGraph) -> DataFrame:
     _vectors(g, COSINE)
     return _in_order(g, g.nodes().label("Chunk").nearest("embedding", _query(g), 10).page(4).items)
