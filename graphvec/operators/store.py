@@ -1,7 +1,7 @@
 """The mutable graph: transactions over immutable snapshots.
 
 A transaction collects its changes by id in the driver, checks them against the snapshot it started from and its own changes,
-and commits them as the next snapshot in one step: unchanged rows pass through an anti-join, changed ones are added. An error in
+and commits them as the next snapshot in one step: only added and changed rows are written, and the ids that they replace. An error in
 between leaves nothing behind, ids included. ``bulk_load`` takes whole tables without passing the driver.
 """
 
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from ..errors import DuplicateKey, EdgeNotFound, InvalidVectorDim, NodeNotFound, StorageError
 from ..functions.values import VECTOR, bag_value, canonical, index_key, kind_of
 from ..plans.predicates import make, tagged
-from ..sources.scratch import in_order
-from ..sources.storage import EDGES, NODES, MemoryStorage, ParquetStorage, Snapshot, Storage
+from ..sources.scratch import numbered, passing
+from ..sources.storage import EDGES, NODES, Change, MemoryStorage, ParquetStorage, Snapshot, Storage
 from .graph import Edge, Indexes, Node, PropertyGraph, PropertyIndexes, VectorIndexes, to_record
 
 Result = TypeVar("Result")
@@ -90,6 +90,11 @@ class GraphStore:
 
     # writes
 
+    def compact(self) -> None:
+        """Writes all rows as one layer, so that reads no longer put layers together. Worth it after many small commits or deletions."""
+        after = replace(self._snapshot, version=self._snapshot.version + 1, change=None)
+        self._snapshot = self.storage.commit(self.spark, after, True)
+
     def batch(self, what: Callable[[Transaction], Result]) -> Result:
         """Runs ``what`` and commits all its changes, or none if it raises."""
         tx = Transaction(self)
@@ -117,11 +122,15 @@ class GraphStore:
         return Update(lambda ops: self.batch(lambda tx: tx.apply("edge", edge_id, ops)))
 
     def bulk_load(self, nodes: DataFrame | None = None, edges: DataFrame | None = None, batch: tuple[str, int] | None = None) -> None:
-        """Appends tables (label, props and for edges src, dst; ids are given in the order of all columns) in one commit.
+        """Appends tables (label, props and for edges src, dst; ids are given in the order of the tables' partitions) in one commit.
 
         Endpoints, unique constraints and vector lengths are checked by joins and aggregations. ``batch``: the stream and number of a
         micro-batch; one that the graph has is skipped.
         """
+        with passing(self.spark):
+            self._bulk_load(nodes, edges, batch)
+
+    def _bulk_load(self, nodes: DataFrame | None, edges: DataFrame | None, batch: tuple[str, int] | None) -> None:
         s = self._snapshot
         if batch and s.loaded.get(batch[0], -1) >= batch[1]:
             return
@@ -130,7 +139,7 @@ class GraphStore:
             if df is None:
                 continue
             keys = ["label"] if kind == "node" else ["src", "dst", "label"]
-            placed = in_order(df.select(*(F.col(k).cast("bigint").alias(k) for k in keys[:-1]), "label", "props", F.to_json("props").alias("_json")), [*keys, "_json"], "_at")
+            placed = numbered(df.select(*(F.col(k).cast("bigint").alias(k) for k in keys[:-1]), "label", "props"), "_at")
             new[kind] = placed.select((F.col("_at") + first).alias("id"), *keys, "props")
             counts[kind] = placed.count()
         after_nodes = s.nodes.unionByName(new["node"]) if "node" in new else s.nodes
@@ -149,7 +158,10 @@ class GraphStore:
             vector = F.col("props").getItem(prop).getField("v")
             if "node" in new and not new["node"].filter((F.col("label") == label) & vector.isNotNull() & (F.size(vector) != dim)).isEmpty():
                 raise InvalidVectorDim(f"expected {dim} dimensions for {label}::{prop}")
-        after = Snapshot(s.version + 1, after_nodes, after_edges, s.catalog, s.next_node + counts.get("node", 0), s.next_edge + counts.get("edge", 0), s.loaded | dict([batch] if batch else []))
+        after = replace(
+            s, version=s.version + 1, nodes=after_nodes, edges=after_edges, next_node=s.next_node + counts.get("node", 0), next_edge=s.next_edge + counts.get("edge", 0),
+            loaded=s.loaded | dict([batch] if batch else []), change=Change(new.get("node"), new.get("edge")),
+        )
         self._snapshot = self.storage.commit(self.spark, after, True)
 
     # indexes
@@ -231,6 +243,9 @@ class Transaction:
         self._dead: set[int] = set()
         #: Nodes of the base that are known to exist there.
         self._seen: set[int] = set()
+        #: Unique values (kind of item, label, property, key) that no item of the base has, and items of the transaction by theirs.
+        self._free: set[tuple] = set()
+        self._holders: dict[tuple, set[int]] = {}
         self._next = {"node": self._base.next_node, "edge": self._base.next_edge}
 
     @property
@@ -277,12 +292,15 @@ class Transaction:
             if unique_label != label or p not in props or (key := index_key(props[p])) is None:
                 continue
             items = self._items[kind]
-            staged = any(x is not None and i != own and x.label == label and p in x.properties and index_key(x.properties[p]) == key for i, x in items.items())
+            if any(i != own and (x := items[i]) is not None and x.label == label and p in x.properties and index_key(x.properties[p]) == key for i in self._holders.get((kind, label, p, key), ())):
+                raise DuplicateKey(f"{label}::{p} already has the value {props[p]!r}")
+            if (kind, label, p, key) in self._free:
+                continue
             same = self._table(kind).filter((F.col("label") == label) & tagged(make("eq", p, props[p]), F.col("props").getItem(p)))
             same = same.filter(~F.col("id").isin([*items, *([own] if own else [])])) if items or own else same
             if kind == "edge" and self._dead:
                 same = same.filter(~F.col("src").isin(sorted(self._dead)) & ~F.col("dst").isin(sorted(self._dead)))
-            if staged or not same.isEmpty():
+            if not same.isEmpty():
                 raise DuplicateKey(f"{label}::{p} already has the value {props[p]!r}")
 
     def _new_id(self, kind: str) -> int:
@@ -296,9 +314,37 @@ class Transaction:
         props = {p: canonical(v) for p, v in dict(props).items()}
         self._check("node", label, props, None)
         node_id = self._new_id("node")
-        self._items["node"][node_id] = Node(node_id, label, props)
+        self._put("node", Node(node_id, label, props))
         return node_id
 
+    def _put(self, kind: str, item: Node | Edge) -> None:
+        self._items[kind][item.id] = item
+        for label, p in self._catalog.unique(kind):
+            if label == item.label and p in item.properties and (key := index_key(item.properties[p])) is not None:
+                self._holders.setdefault((kind, label, p, key), set()).add(item.id)
+
+    def _look_up_unique(self, kind: str, items: Iterable[tuple[str, Props]]) -> None:
+        """Notes the unique values among ``items`` that the base doesn't have: one job for each unique property."""
+        items = [(label, dict(props)) for label, props in items]
+        spark = self._store.spark
+        for label, p in sorted(self._catalog.unique(kind)):
+            keys = {key: props[p] for own, props in items if own == label and p in props and (key := index_key(props[p])) is not None}
+            if not keys:
+                continue
+            ends = (0, 0) if kind == "edge" else ()
+            wanted = spark.createDataFrame([(i, *ends, label, {p: bag_value(v)}) for i, v in enumerate(keys.values())], NODES if kind == "node" else EDGES)
+            graphs = [PropertyGraph.from_bags(spark, rows, rows) for rows in (wanted, self._table(kind))]
+            views = [g.view(kind, label) for g in graphs]
+            ours, theirs = (v.df.select(*extra, g.value_key(v, p).alias("value")) for g, v, extra in zip(graphs, views, (["id"], []), strict=True))
+            taken = {r.id for r in ours.join(theirs, "value", "left_semi").select("id").collect()}
+            self._free |= {(kind, label, p, key) for i, key in enumerate(keys) if i not in taken}
+
+    def add_nodes(self, nodes: Iterable[tuple[str, Props]]) -> list[int]:
+        """Adds many nodes; their unique values are looked up together."""
+        nodes = list(nodes)
+        self._look_up_unique("node", nodes)
+        return [self.add_node(*n) for n in nodes]
+
     def add_edge(self, src: int, dst: int, label: str, props: Props = ()) -> int:
         for end in (src, dst):
             if end in self._items["node"] or end not in self._seen:
@@ -307,12 +353,13 @@ class Transaction:
         props = {p: canonical(v) for p, v in dict(props).items()}
         self._check("edge", label, props, None)
         edge_id = self._new_id("edge")
-        self._items["edge"][edge_id] = Edge(edge_id, src, dst, label, props)
+        self._put("edge", Edge(edge_id, src, dst, label, props))
         return edge_id
 
     def add_edges(self, edges: Iterable[tuple[int, int, str, Props]]) -> list[int]:
-        """Adds many edges; all ends that the transaction doesn't know yet are looked up together. Unique properties are still checked one by one."""
+        """Adds many edges; all ends that the transaction doesn't know yet are looked up together, and so are unique values."""
         edges = list(edges)
+        self._look_up_unique("edge", ((label, props) for *_, label, props in edges))
         ends = {i for src, dst, *_ in edges for i in (src, dst)} - self._items["node"].keys() - self._seen
         wanted = sorted(i for i in ends if 0 < i <= _MOST)
         if wanted:
@@ -362,22 +409,25 @@ class Transaction:
             if end in ends:
                 self.get_node(ends[end])
         self._check(kind, label, props, item_id)
-        self._items[kind][item_id] = replace(item, label=label, properties=props, **ends)
+        self._put(kind, replace(item, label=label, properties=props, **ends))
 
     def snapshot(self) -> Snapshot:
-        """The base without changed rows, and the changed ones."""
-        spark, tables = self._store.spark, {}
+        """The base without changed rows, and the changed ones; beside them the change alone."""
+        spark, tables, change = self._store.spark, {}, {}
         for kind, schema in (("node", NODES), ("edge", EDGES)):
             rows, items = self._table(kind), self._items[kind]
-            if items:
-                gone = spark.createDataFrame([(i,) for i in items], "id bigint")
+            first = self._base.next_node if kind == "node" else self._base.next_edge
+            if old := [(i,) for i in sorted(items) if i < first]:
+                gone = change[f"gone_{kind}s"] = spark.createDataFrame(old, "id bigint").coalesce(1)
                 rows = rows.join(gone, "id", "left_anti")
-            if kind == "edge" and self._dead:
-                dead = spark.createDataFrame([(i,) for i in sorted(self._dead)], "dead bigint")
+            if kind == "edge" and (lost := [(i,) for i in sorted(self._dead) if i < self._base.next_node]):
+                change["dead"] = spark.createDataFrame(lost, "id bigint").coalesce(1)
+                dead = change["dead"].withColumnRenamed("id", "dead")
                 rows = rows.join(dead, F.col("src") == F.col("dead"), "left_anti").join(dead, F.col("dst") == F.col("dead"), "left_anti")
             kept = [x for x in items.values() if x is not None]
             if kept:
                 data = [(x.id, *((x.src, x.dst) if kind == "edge" else ()), x.label, {p: bag_value(v) for p, v in x.properties.items()}) for x in kept]
-                rows = rows.unionByName(spark.createDataFrame(data, schema))
-            tables[kind] = rows
-        return Snapshot(self._base.version + 1, tables["node"], tables["edge"], self._catalog, self._next["node"], self._next["edge"], self._base.loaded)
+                change[f"{kind}s"] = spark.createDataFrame(data, schema).coalesce(1)
+                rows = rows.unionByName(change[f"{kind}s"])
+            tables[f"{kind}s"] = rows
+        return replace(self._base, version=self._base.version + 1, **tables, next_node=self._next["node"], next_edge=self._next["edge"], change=Change(**change))

@@ -75,8 +75,12 @@ def in_order(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
     Rows are range-partitioned, sorted and written; only each partition's number of rows passes through the driver. A
     group of any size may span partitions.
     """
-    mark = F.monotonically_increasing_id()
-    placed = settle(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at, mark))
+    return numbered(rows.repartitionByRange(*keys).sortWithinPartitions(*keys), at)
+
+
+def numbered(rows: DataFrame, at: str) -> DataFrame:
+    """The rows numbered 0, 1, ... in the order of their partitions, in column ``at``. They are written with their numbers and stay so."""
+    placed = settle(rows.withColumn(at, F.monotonically_increasing_id()))
     part, mask = F.shiftright(at, 33).cast("int"), (1 << 33) - 1
     counts = {r.part: r.n for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
     bases, base = [], 0

@@ -396,3 +396,97 @@ def test_many_edges_take_few_jobs(spark):
     with pytest.raises(NodeNotFound):
         store.batch(lambda tx: (tx.add_edge(ids[0], ids[1], "E"), tx.delete_node(ids[1]), tx.add_edge(ids[0], ids[1], "E")))
     assert store.edges().count() == 2400
+
+
+def _data_files(path):
+    import glob
+
+    return sorted(f[len(str(path)):] for f in glob.glob(f"{path}/**/part-*.parquet", recursive=True))
+
+
+def test_a_small_commit_writes_a_small_file(spark, tmp_path):
+    import os
+
+    from graphvec.functions.values import BAG, bag_value
+
+    path = tmp_path / "graph"
+    store = GraphStore.open(spark, f"file://{path}")
+    store.bulk_load(nodes=spark.createDataFrame([("Old", {"n": bag_value(i)}) for i in range(20_000)], f"label string, props {BAG}"))
+    before = _data_files(path)
+    new = store.add_node("New", {"n": 1})
+    added = [f for f in _data_files(path) if f not in before]
+    assert len(added) == 1 and "/nodes/" in added[0] and os.path.getsize(f"{path}{added[0]}") < 8_000
+    before = _data_files(path)
+    store.add_edge(new, 1, "E")
+    store.delete_node(1)
+    added = [f for f in _data_files(path) if f not in before]
+    assert [f.split("/")[2] for f in added] == ["edges", "dead", "gone_nodes"]
+    assert (store.nodes().count(), store.edges().count(), store.nodes().label("Old").count()) == (20_000, 0, 19_999)
+
+
+@pytest.mark.parametrize("disk", [False, True])
+def test_layers_give_what_whole_tables_would(spark, tmp_path, disk):
+    import random
+
+    rng = random.Random(7)
+    path = f"file://{tmp_path}/graph"
+    store = GraphStore.open(spark, path) if disk else GraphStore(spark)
+    nodes, edges, past = {}, {}, []
+
+    def step(tx):
+        for _ in range(3):
+            nodes[tx.add_node("V", {"x": 0})] = 0
+        for _ in range(4):
+            a, b = rng.choice(sorted(nodes)), rng.choice(sorted(nodes))
+            edges[tx.add_edge(a, b, "E", {"x": 0})] = (a, b, 0)
+        n, e = rng.choice(sorted(nodes)), rng.choice(sorted(edges))
+        nodes[n] += 1
+        tx.update_node(n).set_property("x", nodes[n]).apply()
+        a, b, x = edges[e]
+        edges[e] = (a, rng.choice(sorted(nodes)), x + 1)
+        tx.update_edge(e).set_to(edges[e][1]).set_property("x", x + 1).apply()
+        gone = rng.choice(sorted(edges))
+        del edges[gone]
+        tx.delete_edge(gone)
+        if rng.random() < 0.6:
+            gone = rng.choice(sorted(nodes))
+            tx.delete_node(gone)
+            del nodes[gone]
+            for i in [i for i, (a, b, _) in edges.items() if gone in (a, b)]:
+                del edges[i]
+
+    def same(graph, nodes, edges):
+        assert {n.id: n.properties["x"] for n in graph.nodes().collect()} == nodes
+        assert {e.id: (e.src, e.dst, e.properties["x"]) for e in graph.edges().collect()} == edges
+
+    for k in range(6):
+        store.batch(step)
+        past.append((store.graph, dict(nodes), dict(edges)))
+        if k == 3:
+            store.compact()
+            assert len(store._snapshot.layers) == 1
+    for old in past:
+        same(*old)
+    if disk:
+        same(GraphStore.open(spark, path).graph, nodes, edges)
+
+
+def test_many_unique_values_take_few_jobs(spark):
+    store = GraphStore(spark)
+    store.batch(lambda tx: [tx.add_node("V", {"key": i}) for i in range(5)])
+    store.indexes().nodes().create_unique("V", "key")
+    sc = spark.sparkContext
+    sc.setJobGroup("unique", "")
+    try:
+        ids = store.batch(lambda tx: tx.add_nodes(("V", {"key": i}) for i in range(5, 1005)))
+        jobs = len(sc.statusTracker().getJobIdsForGroup("unique"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(ids) == 1000 and jobs < 20
+    for more in ([{"key": 2}], [{"key": -1}, {"key": -1}], [{"key": 1004}]):
+        with pytest.raises(DuplicateKey):
+            store.batch(lambda tx, more=more: tx.add_nodes(("V", p) for p in more))
+    assert store.batch(lambda tx: (tx.delete_node(3), tx.add_nodes([("V", {"key": 2}), ("V", {"key": 2.0}), ("V", {"key": float("nan")}), ("V", {"key": float("nan")})]))) and store.nodes().count() == 1008
+    store.batch(lambda tx: (tx.update_node(4).set_property("key", -7).apply(), tx.add_nodes([("V", {"key": 3})])))
+    with pytest.raises(DuplicateKey):
+        store.add_node("V", {"key": -7})
