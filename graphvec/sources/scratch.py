@@ -49,6 +49,22 @@ def passing(spark: SparkSession) -> Iterator[None]:
             _remove(spark, path)
 
 
+#: Whether a query's shuffle files go when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the writes inside go as soon as each is done, as nobody reads them again; the driver's garbage collection
+    would let them lie for long. Those of persisted tables stay."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def settle(df: DataFrame, instead_of: DataFrame | None = None, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: later stages neither recompute it nor depend on one executor.
 
@@ -57,7 +73,8 @@ def settle(df: DataFrame, instead_of: DataFrame | None = None, keep: bool = Fals
     """
     spark = df.sparkSession
     path = scratch_dir(spark)
-    df.write.parquet(path, compression="zstd")
+    with brief_shuffles(spark):
+        df.write.parquet(path, compression="zstd")
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     if _scopes and not keep:

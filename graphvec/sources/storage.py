@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..errors import TransactionConflict
 from ..functions.values import BAG
 from ..plans.catalog import Catalog
-from .scratch import settle
+from .scratch import brief_shuffles, settle
 
 NODES, EDGES = f"id bigint, label string, props {BAG}", f"id bigint, src bigint, dst bigint, label string, props {BAG}"
 
@@ -167,7 +167,8 @@ class ParquetStorage:
         if data_changed:
 
             def write(name: str, rows: DataFrame) -> str:
-                rows.write.parquet(f"{folder}/{name}")
+                with brief_shuffles(spark):
+                    rows.write.parquet(f"{folder}/{name}")
                 return f"{folder}/{name}"
 
             folder = f"{self.path}/v={snapshot.version}-{uuid.uuid4().hex[:8]}"

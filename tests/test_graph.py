@@ -490,3 +490,21 @@ def test_many_unique_values_take_few_jobs(spark):
     store.batch(lambda tx: (tx.update_node(4).set_property("key", -7).apply(), tx.add_nodes([("V", {"key": 3})])))
     with pytest.raises(DuplicateKey):
         store.add_node("V", {"key": -7})
+
+
+def test_settled_tables_leave_no_shuffle_files(spark):
+    import glob
+    import time
+
+    from graphvec.sources.scratch import settle
+
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    files = lambda: {f for d in local for f in glob.glob(f"{d.getPath()}/**/shuffle_*.data", recursive=True)}
+    before = files()
+    out = settle(spark.range(1000).groupBy("id").count())
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and out.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
