@@ -133,11 +133,13 @@ class PropertyGraph:
     def node(self, node_id: int) -> NodeRef:
         return NodeRef(self, node_id)
 
-    def load(self, kind: str, ids: Sequence[int]) -> list[Any]:
-        """The records of ``ids`` in their order, as often as named; unknown ids are left out."""
+    def load(self, kind: str, ids: Sequence[int], label: str | None = None) -> list[Any]:
+        """The records of ``ids`` in their order, as often as named; unknown ids are left out. ``label``: of all ids, so that only
+        that label's table is read."""
         if not ids:
             return []
-        rows = self.records(kind).filter(F.col("id").isin(sorted(set(ids)))).collect()
+        view = None if label is None else self.view(kind, label)
+        rows = (self.records(kind) if view is None else view.records()).filter(F.col("id").isin(sorted(set(ids)))).collect()
         found = {r.id: to_record(kind, r) for r in rows}
         return [found[i] for i in ids if i in found]
 

@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..errors import InvalidCursor, InvalidVectorDim, StorageError
+from ..errors import InvalidConfig, InvalidCursor, InvalidVectorDim, StorageError
 from ..functions.similarity import as_query, ascending, score
 from ..plans import paging
 from ..plans.paging import Page
 from ..plans.predicates import Filter, conjunction, make
+from ..sources.scratch import numbered
 
 if TYPE_CHECKING:
     from ..sources.views import View
@@ -122,7 +123,7 @@ class ItemQuery(Filtered):
 
     def collect(self) -> list[Any]:
         paging.no_cursor(self._after)
-        return self._graph.load(self._kind, self._ordered_ids(self.to_df()))
+        return self._graph.load(self._kind, self._ordered_ids(self.to_df()), self._label)
 
     def count(self) -> int:
         """All matches, whatever the limit."""
@@ -133,20 +134,41 @@ class ItemQuery(Filtered):
         found = self.limit(1).collect()
         return found[0] if found else None
 
+    def _rest(self) -> DataFrame:
+        """What matches after the cursor."""
+        rows = self._all()
+        if self._after is None:
+            return rows
+        at = paging.decode(self._cursor, self._after)
+        if at >= 1 << 63 or rows.filter(F.col("id") == at).isEmpty():
+            raise InvalidCursor("cursor not found in result set")
+        return rows.filter(F.col("id") > at)
+
     def page_df(self, size: int) -> DataFrame:
         """One row more than the page, to tell whether another follows."""
-        rows = self._all()
+        return self._rest().orderBy("id").limit(size + 1)
+
+    def pages_df(self, size: int) -> DataFrame:
+        """All pages from here on as one table: id, label, pos (from 0), page (from 0), and the page's cursor and next_cursor.
+
+        These are the pages that ``page(size)`` gives when each is asked for ``after`` the cursor of the one before, but cut from
+        one distributed order: neither the jobs nor the driver's memory grow with their number."""
+        paging.check(self._limit, size)
+        rows, by = self._rest(), F.col("id").asc_nulls_last()
+        rows = rows.select("id", "label" if self._label is None else F.lit(self._label).alias("label"))
+        rows = numbered(rows.repartitionByRange(by).sortWithinPartitions(by), "pos").withColumn("page", F.expr(f"pos div {size}"))
+        ends = rows.filter((F.col("pos") + 1) % size == 0).select("page", F.concat(F.lit(f"{self._cursor}:"), "id").alias("next_cursor"))
+        begins = ends.select((F.col("page") + 1).alias("page"), F.col("next_cursor").alias("cursor"))
+        more = F.col("page") < (rows.count() - 1) // size
+        out = rows.join(begins, "page", "left").join(ends.filter(more), "page", "left")
         if self._after is not None:
-            at = paging.decode(self._cursor, self._after)
-            if at >= 1 << 63 or rows.filter(F.col("id") == at).isEmpty():
-                raise InvalidCursor("cursor not found in result set")
-            rows = rows.filter(F.col("id") > at)
-        return rows.orderBy("id").limit(size + 1)
+            out = out.withColumn("cursor", F.when(F.col("page") == 0, F.lit(self._after)).otherwise(F.col("cursor")))
+        return out.select("id", "label", "pos", "page", "cursor", "next_cursor")
 
     def page(self, size: int) -> Page:
         paging.check(self._limit, size)
         ids = self._ordered_ids(self.page_df(size))
-        items = self._graph.load(self._kind, ids[:size])
+        items = self._graph.load(self._kind, ids[:size], self._label)
         return Page(items, paging.encode(self._cursor, ids[size - 1]) if len(ids) > size else None)
 
 
@@ -202,6 +224,11 @@ class NodeQuery(ItemQuery):
             return self._with(_limit=None).ranked().count()
         return super().count()
 
+    def pages_df(self, size: int) -> DataFrame:
+        if self._nearest:
+            raise InvalidConfig("pages_df() doesn't rank; page() gives the hits of a vector search")
+        return super().pages_df(size)
+
     def page(self, size: int) -> Page:
         if not self._nearest:
             return super().page(size)
@@ -214,4 +241,4 @@ class NodeQuery(ItemQuery):
                 raise InvalidCursor("cursor not found in result set")
             begin = ids.index(at) + 1
         items = ids[begin : begin + size]
-        return Page(self._graph.load("node", items), paging.encode("n", items[-1]) if len(ids) > begin + size else None)
+        return Page(self._graph.load("node", items, self._label), paging.encode("n", items[-1]) if len(ids) > begin + size else None)

@@ -126,6 +126,26 @@ def test_pages(people):
     assert [n.id for n in people.node(1).outgoing("knows").after("e:2").nodes_page(2).items] == [3]
 
 
+def test_all_pages_are_those_of_the_chain_of_cursors(people):
+    nodes, edges = people.nodes(), people.edges()
+    for q in (nodes.label("User"), nodes.label("User").gt("age", 30), nodes, edges.label("knows"), nodes.label("User").after("n:2"), edges.after("e:3"), nodes.label("none"), nodes.label("User").after("n:5")):
+        for size in (2, 5):
+            wanted, ask, pos = [], q, 0
+            for number in range(99):
+                page = ask.page(size)
+                wanted += [(x.id, x.label, pos + k, number, ask._after, page.next_cursor) for k, x in enumerate(page.items)]
+                pos += len(page.items)
+                if page.next_cursor is None:
+                    break
+                ask = q.after(page.next_cursor)
+            assert [tuple(r) for r in q.pages_df(size).orderBy("pos").collect()] == wanted
+    with pytest.raises(InvalidCursor):
+        nodes.label("User").after("n:999999").pages_df(2)
+    for bad in (lambda: nodes.limit(1).pages_df(1), lambda: nodes.pages_df(0), lambda: nodes.label("User").nearest("v", [1.0], 1).pages_df(1)):
+        with pytest.raises(InvalidConfig):
+            bad()
+
+
 def test_point_reads(people):
     assert [n.id for n in people.get_nodes([3, 1, 3])] == [3, 1, 3]
     assert people.get_edge(6).label == "follows"

@@ -69,3 +69,24 @@ def test_all_indexes_are_listed(spark, sf_dir):
     got = {tuple(r) for r in graph_queries.queries()["stats_indexes_all"](spark, sf_dir).collect()}
     assert got == {(kind, *x) for kind in ("node", "edge") for x in catalog.props(kind)}
     assert {"Customer", "Document", "Event", "Order", "Supplier", "CONTAINS", "PLACED"} <= {label for _, label, _ in got}
+
+
+def test_all_pages_take_the_same_few_jobs_and_one_table(spark, tmp_path):
+    """Of 30 and of 300 pages, in a folder that has no other table; ids in no order, some customers without a balance."""
+    jobs, tracker = [], spark.sparkContext.statusTracker()
+    for n in (6_000, 60_000):
+        balance = "CASE WHEN id % 7 = 0 THEN NULL WHEN id % 7 = 1 THEN -1.0D ELSE 1.0D END AS c_acctbal"
+        spark.range(n).selectExpr("id * 7919 % 60013 AS c_custkey", "'x' AS c_name", balance, "'y' AS c_mktsegment", "0L AS c_nationkey").repartition(3).write.parquet(f"{tmp_path}/{n}/customer.parquet")
+        spark.sparkContext.setJobGroup(f"pages{n}", "")
+        got = graph_queries.queries()["pages_by_cursor"](spark, f"{tmp_path}/{n}").collect()
+        jobs.append(len(tracker.getJobIdsForGroup(f"pages{n}")))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        ids = sorted(3_000_000_001 + k * 7919 % 60013 for k in range(n) if k % 7 > 1)
+        assert sorted((r.pos, r.id, r.label) for r in got) == [(p, i, "Customer") for p, i in enumerate(ids)]
+    assert jobs[0] <= 20 and jobs[1] <= 20
+
+
+def test_a_page_reads_only_its_label(spark, tmp_path):
+    spark.createDataFrame([(k, "x", float(k), "y", 0) for k in range(9)], "c_custkey long, c_name string, c_acctbal double, c_mktsegment string, c_nationkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    page = graph(spark, str(tmp_path)).nodes().label("Customer").gt("c_acctbal", 0.0).page(3)
+    assert [(n.id - 3_000_000_001, n.properties["c_acctbal"]) for n in page.items] == [(1, 1.0), (2, 2.0), (3, 3.0)] and page.next_cursor == "n:3000000004"
